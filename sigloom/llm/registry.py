@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, mixing, sharding
+from sigloom.llm import chat, html, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html}
 
 ORACLE_SQL: dict[str, str] = {}
