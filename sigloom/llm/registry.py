@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, fingerprints, html, mixing, sharding, tokenids
+from sigloom.llm import chat, fingerprints, html, mixing, sharding, tokenids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read_ids(tokenids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
