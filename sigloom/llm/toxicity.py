@@ -9,7 +9,7 @@ discounted). A text's length-normalised log-likelihood difference, that of its
 best window and that of its most telling words go into a logistic scale.
 
 All counts come from all labelled rows of folds 1 to 3 and are held in tables
-of SLOTS hashed entries, so the model's size is fixed (about 19 MB). The scale
+of SLOTS hashed entries, so the model's size is fixed (about 75 MB). The scale
 is fitted on at most FIT_ROWS labelled rows of fold 4. Fold 0 is held out.
 
 Edge cases: null and empty texts, and texts without letters, get the score of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sigloom.llm import store
 
 ORDER = 6
-SLOTS = 1 << 19
+SLOTS = 1 << 21
 FIT_ROWS = 20_000
 WINDOW = 8
 TELLING = 8
