@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -123,6 +124,7 @@ class Model:
     def __init__(self, found: dict[str, np.ndarray], prior: float):
         self.tables, self.prior = found, prior
         self.scale: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.shipped = None
         self.clear()
 
     def clear(self) -> None:
@@ -131,11 +133,27 @@ class Model:
         self.words: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"tables": self.tables, "prior": self.prior, "scale": self.scale}
+        """Of the tables, the slots in use: what is shipped is far smaller than the tables while they are not full."""
+        packed = {}
+        for name, table in self.tables.items():
+            used = np.flatnonzero(table).astype(np.uint32)
+            packed[name] = zlib.compress(np.diff(used, prepend=np.uint32(0)).tobytes() + table[used].tobytes(), 1)
+        return {"packed": packed, "prior": self.prior}
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.clear()
+        found = {}
+        for name, packed in state["packed"].items():
+            raw = zlib.decompress(packed)
+            half = len(raw) // 2
+            found[name] = np.zeros(SLOTS, np.float32)
+            found[name][np.cumsum(np.frombuffer(raw[:half], np.uint32), dtype=np.uint32)] = np.frombuffer(raw[half:], np.float32)
+        self.__init__(found, state["prior"])
+
+    def ship(self, docs: DataFrame):
+        """Broadcast once; the scale, set later, goes with the tasks. At most SLOTS entries of each table."""
+        if self.shipped is None:
+            self.shipped = docs.sparkSession.sparkContext.broadcast(self)
+        return self.shipped
 
     def shared(self, gram: str) -> float:
         """Continuation probability of a sequence's last letter, the same for both classes."""
@@ -202,10 +220,11 @@ class Model:
                 break
         self.scale = mean, spread, weights
 
-    def score(self, text: str) -> float:
-        if self.scale is None:
+    def score(self, text: str, scale=None) -> float:
+        scale = scale or self.scale
+        if scale is None:
             return self.prior
-        mean, spread, weights = self.scale
+        mean, spread, weights = scale
         x = (np.array(self.features(text)) - mean) / spread
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ weights[:-1] + weights[-1])))))
 
@@ -225,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     if fitting and toxic:
         # By hash, so that the sample is the same on every run: about fit_rows of the rows of fold 4.
         chosen = rows.filter("fold = 4").filter(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(fitting)) < fit_rows)
-        shipped = docs.sparkSession.sparkContext.broadcast(model)
+        shipped = model.ship(docs)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -239,11 +258,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, scale = model.ship(docs), model.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([shipped.value.score(t or "") for t in batch.column(2).to_pylist()])
+            scores = np.array([shipped.value.score(t or "", scale) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text")
@@ -252,11 +271,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, scale = model.ship(docs), model.scale
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shipped.value.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([shipped.value.score(t or "", scale) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
