@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, fingerprints, html, mixing, sharding, tokenids, toxicity
+from sigloom.llm import chat, fingerprints, html, mixing, ngramjoin, sharding, tokenids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents")).drop("h")
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity, "op4_ngram_join": op4_ngram_join}
 
 ORACLE_SQL: dict[str, str] = {}
