@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigloom.llm import chat, decontamination, fingerprints, html, mixing, ngramjoin, sharding, tokenids, toxicity
+from sigloom.llm import chat, decontamination, fingerprints, html, mixing, ngramjoin, sharding, suffixes, tokenids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity, "op4_ngram_join": op4_ngram_join, "op9_decontamination": op9_decontamination}
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity, "op4_ngram_join": op4_ngram_join, "op6_suffix_dedup": op6_suffix_dedup, "op9_decontamination": op9_decontamination}
 
 ORACLE_SQL: dict[str, str] = {}
