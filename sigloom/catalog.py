@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigloom import session
 
@@ -29,17 +28,3 @@ def register(name: str, sql: str | None = None):
         return build
 
     return add
-
-
-@register(
-    "flagship_errors_by_minute",
-    """SELECT CAST(epoch_us(ts) // 60000000 AS VARCHAR) AS minute, count(*) AS n
-       FROM events WHERE event_type = 'error' GROUP BY 1""",
-)
-def flagship_errors_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return (
-        events.filter(F.col("event_type") == "error")
-        .groupBy((F.unix_micros(F.col("ts").cast("timestamp")) / 60000000).cast("long").cast("string").alias("minute"))
-        .agg(F.count("*").alias("n"))
-    )
