@@ -183,8 +183,9 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float, block: in
     least = least_matches(threshold, tolerance)
     banded = classes.select("class", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = banded.join(shared, "bucket")
-    rows = members.join(classes.select("class", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short")), "class")
+    # All of these grow with the corpus, so the joins have one plan at every size.
+    members = banded.join(shared.hint("shuffle_merge"), "bucket")
+    rows = members.join(classes.select("class", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short")).hint("shuffle_merge"), "class")
     rows = in_pairs_of_blocks(rows, "bucket", "members", F.col("class"), block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
                 yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[1:]], ["shingles", *part.schema.names[1:]])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    met = texts.join(grouped, texts["_id"].eqNullSafe(F.col("first.doc_id")) & (texts["_h"] == F.col("first.h")))
+    met = texts.join(grouped.hint("shuffle_merge"), texts["_id"].eqNullSafe(F.col("first.doc_id")) & (texts["_h"] == F.col("first.h")))
     # Rows that repeat give one set; they lie in one partition already.
     met = met.dropDuplicates(["_id", "_h", "node"])
     met = met.select("text", "node", "root", "copies").mapInArrow(shingle, "shingles binary, node string, root string, copies bigint")
@@ -331,5 +332,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns."""
     kept = join(docs, threshold).filter("keep").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
+    rows = rows.join(kept.hint("shuffle_merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
     return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
