@@ -1 +1,134 @@
+"""PromQL queries, metric discovery and rollups."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigloom.catalog import register
+from sigloom.operators import rollup
+from sigloom.plans import promql
+from sigloom.sources import relations as R
+
+HOUR, DAY = 3_600_000, 86_400_000
+T0 = 1_704_153_600_000
+STEP, N = 6 * HOUR, 20
+STEPS = f"steps AS (SELECT i, {T0} + i * {STEP} AS t FROM range(0, {N}) r(i))"
+GAUGE, COUNTER = f"WITH {R.GAUGE_SQL}, {STEPS} ", f"WITH {R.COUNTER_SQL}, {STEPS} "
+LABELS = "'__name__=event_value,event_type=' || event_type || ',user=' || usr"
+BARE = "'event_type=' || event_type || ',user=' || usr"
+TOTAL = "'__name__=events_total,event_type=' || event_type"
+
+
+def metric(name: str, text: str, sql: str, source=R.gauge_points, digits: int = 6) -> None:
+    @register(name, sql)
+    def run(spark, sf_dir):
+        out = promql.range_query(source(spark, sf_dir), text, T0, T0 + (N - 1) * STEP, STEP)
+        return out.select("t", "labels", F.round("value", digits).alias("value"))
+
+
+def latest(labels: str = LABELS, at: str = "t", value: str = "v") -> str:
+    """The instant selector: the latest point of each series in the last five minutes."""
+    return f"SELECT t, event_type, usr, {labels} AS labels, {value} AS v FROM (SELECT t, event_type, usr, arg_max(value, (ts_ns, off)) AS v FROM steps JOIN points ON ts_ms >= {at} - 300000 AND ts_ns <= ({at}) * 1000000 AND ts_ns >= ({at} - 300000) * 1000000 GROUP BY 1, 2, 3)"
+
+
+def windowed(width: int, value: str, labels: str = LABELS, keys: str = "event_type, usr", shift: int = 0) -> str:
+    return f"SELECT t, {labels} AS labels, round(CAST({value} AS DOUBLE), 6) AS value FROM steps JOIN points ON ts_ms > t - {shift + width} AND ts_ns <= (t - {shift}) * 1000000 GROUP BY t, {keys}"
+
+
+metric("prom_instant", "event_value", f"{GAUGE} SELECT t, labels, round(v, 6) AS value FROM ({latest()})")
+metric("prom_matchers", 'event_value{event_type=~"click|view", user!="3", nope=""}', f"{GAUGE} SELECT t, labels, round(v, 6) AS value FROM ({latest()}) WHERE event_type IN ('click', 'view') AND usr <> '3'")
+metric("prom_or_groups", 'event_value{event_type="click" or user="1"}', f"{GAUGE} SELECT t, labels, round(v, 6) AS value FROM ({latest()}) WHERE event_type = 'click' OR usr = '1'")
+metric("prom_offset", "event_value offset 1h", f"{GAUGE} SELECT t, labels, round(v, 6) AS value FROM ({latest(at='t - 3600000')})")
+metric("prom_at", f"avg_over_time(event_value[1d] @ {T0 // 1000 + 86400})", f"{GAUGE}, a AS (SELECT event_type, usr, avg(value) AS v FROM points WHERE ts_ms > {T0} AND ts_ns <= {T0 + DAY} * 1000000 GROUP BY 1, 2) SELECT t, {LABELS} AS labels, round(v, 6) AS value FROM steps, a")
+for op, sql in (("avg", "avg(value)"), ("sum", "sum(value)"), ("min", "min(value)"), ("max", "max(value)"), ("count", "count(*)"), ("last", "arg_max(value, (ts_ns, off))"), ("present", "1")):
+    metric(f"prom_{op}_over_time", f"{op}_over_time(event_value[12h])", f"{GAUGE} {windowed(12 * HOUR, sql)}")
+metric("prom_range_offset", "sum_over_time(event_value[6h] offset 6h)", f"{GAUGE} {windowed(6 * HOUR, 'sum(value)', shift=6 * HOUR)}")
+
+PAIRS = f"""pairs AS (SELECT t, event_type, ts_ms, off, value, lag(value) OVER w AS p, lag(ts_ms) OVER w AS pt, row_number() OVER (PARTITION BY t, event_type ORDER BY ts_ms DESC, off DESC) AS back
+ FROM steps JOIN points ON ts_ms > t - {DAY} AND ts_ns <= t * 1000000 WINDOW w AS (PARTITION BY t, event_type ORDER BY ts_ms, off))"""
+GROWN = "sum(CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END)"
+
+
+def counter(name: str, call: str, value: str, where: str = "true") -> None:
+    metric(name, call, f"WITH {R.COUNTER_SQL}, {STEPS}, {PAIRS} SELECT t, {TOTAL} AS labels, round(CAST({value} AS DOUBLE), 6) AS value FROM pairs WHERE {where} GROUP BY t, event_type", R.counter_points)
+
+
+counter("prom_rate", "rate(events_total[1d])", f"{GROWN} / ((max(ts_ms) - min(ts_ms)) / 1000.0)")
+counter("prom_increase", "increase(events_total[1d])", GROWN)
+counter("prom_irate", "irate(events_total[1d])", f"{GROWN} / (max(ts_ms - pt) / 1000.0)", "back = 1")
+counter("prom_delta", "delta(events_total[1d])", "arg_max(value, (ts_ms, off)) - arg_min(value, (ts_ms, off))")
+counter("prom_idelta", "idelta(events_total[1d])", "max(value - p)", "back = 1")
+counter("prom_changes", "changes(events_total[1d])", "count(*) FILTER (p <> value)")
+counter("prom_resets", "resets(events_total[1d])", "count(*) FILTER (value < p)")
+AVG = f"SELECT t, event_type, usr, avg(value) AS v FROM steps JOIN points ON ts_ms > t - {DAY} AND ts_ns <= t * 1000000 GROUP BY 1, 2, 3"
+metric("prom_agg_by", "sum by (event_type) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'event_type=' || event_type AS labels, round(sum(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
+metric("prom_agg_without", "max without (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'event_type=' || event_type AS labels, round(max(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
+metric("prom_stddev", "stddev by (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'user=' || usr AS labels, round(stddev_pop(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
+metric("prom_count_group", "count(avg_over_time(event_value[1d])) * group(avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, '' AS labels, CAST(count(*) AS DOUBLE) AS value FROM ({AVG}) GROUP BY 1")
+metric(
+    "prom_group_left",
+    "avg_over_time(event_value[1d]) / on(event_type) group_left() sum by (event_type) (avg_over_time(event_value[1d]))",
+    f"{GAUGE}, a AS ({AVG}) SELECT t, {BARE} AS labels, round(v / s, 6) AS value FROM a JOIN (SELECT t, event_type, sum(v) AS s FROM a GROUP BY 1, 2) USING (t, event_type)",
+)
+metric("prom_one_to_one", "sum by (user) (avg_over_time(event_value[1d])) - ignoring(x) min by (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'user=' || usr AS labels, round(sum(v) - min(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
+metric("prom_compare", "avg_over_time(event_value[1d]) > 12", f"{GAUGE} SELECT t, {LABELS} AS labels, round(v, 6) AS value FROM ({AVG}) WHERE v > 12")
+metric("prom_compare_bool", "avg_over_time(event_value[1d]) > bool 12", f"{GAUGE} SELECT t, {LABELS} AS labels, CAST(v > 12 AS DOUBLE) AS value FROM ({AVG})")
+metric(
+    "prom_and_or_unless",
+    "(avg_over_time(event_value[1d]) > 14 and on(user) avg_over_time(event_value{event_type=`view`}[1d]) > 8) or (avg_over_time(event_value[1d]) unless avg_over_time(event_value{user=~`[0-7]`}[1d]))",
+    f"""{GAUGE}, a AS ({AVG}), b AS (SELECT * FROM a WHERE v > 14 AND (t, usr) IN (SELECT (t, usr) FROM a WHERE event_type = 'view' AND v > 8)), c AS (SELECT * FROM a WHERE usr IN ('8', '9') AND (t, event_type, usr) NOT IN (SELECT (t, event_type, usr) FROM b))
+    SELECT t, {LABELS} AS labels, round(v, 6) AS value FROM (SELECT * FROM b UNION ALL SELECT * FROM c)""",
+)
+metric("prom_subquery", "max_over_time(avg_over_time(event_value[6h])[1d:6h])", f"{GAUGE}, inner_steps AS (SELECT {T0 - 30 * HOUR} - {T0} % {6 * HOUR} + i * {6 * HOUR} AS u FROM range(0, 60) r(i)), a AS (SELECT u, event_type, usr, avg(value) AS v FROM inner_steps JOIN points ON ts_ms > u - {6 * HOUR} AND ts_ns <= u * 1000000 GROUP BY 1, 2, 3) SELECT t, {LABELS} AS labels, round(max(v), 6) AS value FROM steps JOIN a ON u > t - {DAY} AND u <= t GROUP BY t, event_type, usr")
+metric("prom_math", "ln(avg_over_time(event_value[1d])) + sqrt(abs(-avg_over_time(event_value[1d]))) ^ 2 + floor(ceil(avg_over_time(event_value[1d]) / 1000))", f"{GAUGE} SELECT t, {BARE} AS labels, round(ln(v) + v + 1, 6) AS value FROM ({AVG})")
+metric("prom_sgn_log", "sgn(avg_over_time(event_value[1d]) - 10) * exp(log2(avg_over_time(event_value[1d])) / log10(avg_over_time(event_value[1d]) + 100))", f"{GAUGE} SELECT t, {BARE} AS labels, round(sign(v - 10) * exp(log2(v) / log10(v + 100)), 6) AS value FROM ({AVG})")
+metric("prom_scalar_time", "vector(time()) - scalar(sum(avg_over_time(event_value[1d])))", f"{GAUGE} SELECT t, '' AS labels, round(t / 1000.0 - sum(v), 6) AS value FROM ({AVG}) GROUP BY t")
+metric("prom_atan2_mod", "(avg_over_time(event_value[1d]) % 3.00013) atan2 2", f"{GAUGE} SELECT t, {LABELS} AS labels, round(atan2(v % 3.00013::DOUBLE, 2), 6) AS value FROM ({AVG})")
+
+
+@register("prom_metadata", "SELECT * FROM (VALUES ('event_value', 'gauge', 'Value of an event', '1')) v(name, type, help, unit)")
+def prom_metadata(spark, sf_dir):
+    return promql.metadata(R.gauge_points(spark, sf_dir).withColumn("monotonic", F.lit(False)))
+
+
+@register("prom_series", f"WITH {R.GAUGE_SQL} SELECT DISTINCT {LABELS} AS labels FROM points WHERE usr = '2'")
+def prom_series(spark, sf_dir):
+    from sigloom.plans import vectors as V
+
+    rows = promql.samples(R.gauge_points(spark, sf_dir)).filter("labels['user'] = '2'")
+    return rows.select(V.label_text(F.array_sort(F.map_entries("labels"))).alias("labels")).distinct()
+
+
+@register("prom_label_values", f"WITH {R.GAUGE_SQL} SELECT DISTINCT event_type AS value FROM points")
+def prom_label_values(spark, sf_dir):
+    return R.gauge_points(spark, sf_dir).select(F.col("labels")["event_type"].alias("value")).distinct()
+
+
+@register("prom_remote_read", f"WITH {R.GAUGE_SQL} SELECT {LABELS} AS labels, ts_ms AS t, round(arg_max(value, (ts_ns, off)), 6) AS value FROM points WHERE event_type = 'error' AND ts_ms BETWEEN {T0} AND {T0 + DAY} GROUP BY 1, 2")
+def prom_remote_read(spark, sf_dir):
+    out = promql.remote_read(R.gauge_points(spark, sf_dir), [("event_type", "=", "error")], T0, T0 + DAY)
+    return out.select("labels", "t", F.round("value", 6).alias("value"))
+
+
+@register(
+    "rollup_counter",
+    f"WITH {R.COUNTER_SQL}, d AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY off) AS p FROM points) SELECT 'events_total/' || event_type AS series_id, sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) AS total, count(*) FILTER (value < p) AS resets, count(*) AS points FROM d GROUP BY 1",
+)
+def rollup_counter(spark, sf_dir):
+    return rollup.counters(R.counter_points(spark, sf_dir))
+
+
+@register("rollup_gauge", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(arg_max(value, off), 6) AS latest, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) AS points FROM points GROUP BY 1")
+def rollup_gauge(spark, sf_dir):
+    out = rollup.gauges(R.gauge_points(spark, sf_dir))
+    return out.select("series_id", *[F.round(c, 6).alias(c) for c in ("latest", "least", "most")], "points")
+
+
+@register(
+    "rollup_histogram",
+    """SELECT event_type AS series_id, count(*) FILTER (value <= 5) AS b1, count(*) FILTER (value > 5 AND value <= 10) AS b2, count(*) FILTER (value > 10 AND value <= 20) AS b3, count(*) FILTER (value > 20) AS b4, count(*) AS count FROM events GROUP BY 1""",
+)
+def rollup_histogram(spark, sf_dir):
+    points = rollup.example_histograms(R.table(spark, sf_dir, "events"))
+    out = rollup.histograms(points)
+    return out.select("series_id", *[F.col("counts")[n].alias(f"b{n + 1}") for n in range(4)], "count")

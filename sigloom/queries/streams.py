@@ -1 +1,51 @@
+"""Streaming jobs, run over bounded inputs; and rollups that streams keep."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigloom.catalog import register
+from sigloom.operators import rollup
+from sigloom.sources import relations as R
+from sigloom.streaming import live
+from sigloom.streaming.run import drain, stream_of
+
+
+def streamed(spark, sf_dir, source):
+    """A relation adapter over the event stream."""
+    return source(spark, sf_dir, stream_of(spark, sf_dir, "events")).withColumn("ts", F.timestamp_micros(F.expr("timestamp DIV 1000")))
+
+
+@register("stream_tail", f"WITH {R.LOGS_SQL} SELECT off AS offset, message AS line FROM logs WHERE event_type = 'error' AND contains(message, 'user=1')")
+def stream_tail(spark, sf_dir):
+    return drain(live.tail(streamed(spark, sf_dir, R.logs).drop("ts"), '{event_type="error"} |= "user=1"').select("offset", "line"))
+
+
+@register("stream_minute_counts", f"WITH {R.LOGS_SQL} SELECT CAST(ts_ns // 60000000000 AS BIGINT) AS minute, sev_text AS severity_text, count(*) AS n FROM logs GROUP BY 1, 2")
+def stream_minute_counts(spark, sf_dir):
+    counts = live.minute_counts(streamed(spark, sf_dir, R.logs))
+    return drain(counts.select((F.unix_micros("minute") / 60_000_000).cast("long").alias("minute"), "severity_text", "n"), "complete")
+
+
+@register("stream_in_order")
+def stream_in_order(spark, sf_dir):
+    return drain(live.in_order(streamed(spark, sf_dir, R.gauge_points)))
+
+
+@register("stream_without_retries", "SELECT event_id AS offset FROM events")
+def stream_without_retries(spark, sf_dir):
+    logs = streamed(spark, sf_dir, R.logs).select("ts", "offset")
+    return drain(live.without_retries(logs.union(logs), ["offset"]).select("offset"))
+
+
+@register("rollup_merge", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(sum(value), 4) AS total, max(off) AS offset, count(*) AS points FROM points GROUP BY 1")
+def rollup_merge(spark, sf_dir):
+    points = R.gauge_points(spark, sf_dir).select("series_id", "offset", "value")
+    first = live.merge_rollup(points.filter("offset < 6000"), None)
+    return live.merge_rollup(points.filter("offset >= 4000"), first).withColumn("total", F.round("total", 4))
+
+
+@register("usage_counters", "SELECT event_type AS feature, CAST(date_trunc('month', ts) AS VARCHAR) AS month, count(*) AS n FROM events GROUP BY 1, 2")
+def usage_counters(spark, sf_dir):
+    events = R.table(spark, sf_dir, "events").withColumnRenamed("event_type", "feature")
+    return rollup.usage(events).withColumn("month", F.date_format("month", "yyyy-MM-dd HH:mm:ss"))

@@ -25,9 +25,9 @@ def no_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Log records from `events`: one line `type=… user=… cents=…` each."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     error = F.col("event_type") == "error"
     user = (F.col("user_id") % 10).cast("string")
     return e.select(
@@ -140,9 +140,9 @@ def conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gauge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gauge_points(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Points of the gauge `event_value`, a series for each event type and user group."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     user = (F.col("user_id") % 10).cast("string")
     return e.select(
         F.lit("default").alias("tenant"),
