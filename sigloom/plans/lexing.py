@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
@@ -45,13 +44,16 @@ def lex(text: str) -> list[Token]:
     return [*out, Token("end", "", None, len(text))]
 
 
+#: Single-letter escapes.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "a": "\a", "v": "\v", "\\": "\\", '"': '"', "'": "'", "/": "/"}
+
+
 def unquoted(raw: str) -> str:
-    if raw[0] == "'":
-        raw = '"' + raw[1:-1].replace('\\\'', "'").replace('"', '\\"') + '"'
-    try:
-        return json.loads(re.sub(r"\\([^\"\\/bfnrtu])", r"\\\\\1", raw), strict=False)
-    except ValueError as error:
-        raise QueryError(f"bad string {raw}") from error
+    """The text of a quoted string; an escape that is none stays as written."""
+    def plain(m: re.Match) -> str:
+        return chr(int(m[1][1:], 16)) if len(m[1]) > 1 else ESCAPES.get(m[1], m[0])
+
+    return re.sub(r"\\(u[0-9a-fA-F]{4}|.)", plain, raw[1:-1], flags=re.S)
 
 
 class Parser:

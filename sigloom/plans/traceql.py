@@ -204,11 +204,15 @@ def _attribute(map_: str, key: str) -> Column:
     return F.when(value.startswith("[") & items.isNotNull(), F.transform(items, lambda x: F.struct(x.alias("s"), units.number_column(x).alias("n")))).otherwise(_text(value))
 
 
-TRACE = Window.partitionBy("tenant", "trace_id")
+def by_trace():
+    return Window.partitionBy("tenant", "trace_id")
+
+
+
 TRACE_FIELDS = {
-    "traceDuration": lambda: F.max("end_timestamp").over(TRACE) - F.min("timestamp").over(TRACE),
-    "rootName": lambda: F.min(F.when(F.col("parent_span_id").isNull(), F.struct("timestamp", "span_id", F.col("name").alias("v")))).over(TRACE)["v"],
-    "rootServiceName": lambda: F.min(F.when(F.col("parent_span_id").isNull(), F.struct("timestamp", "span_id", L.value(F.col("resource_attributes"), "service.name").alias("v")))).over(TRACE)["v"],
+    "traceDuration": lambda: F.max("end_timestamp").over(by_trace()) - F.min("timestamp").over(by_trace()),
+    "rootName": lambda: F.min(F.when(F.col("parent_span_id").isNull(), F.struct("timestamp", "span_id", F.col("name").alias("v")))).over(by_trace())["v"],
+    "rootServiceName": lambda: F.min(F.when(F.col("parent_span_id").isNull(), F.struct("timestamp", "span_id", L.value(F.col("resource_attributes"), "service.name").alias("v")))).over(by_trace())["v"],
 }
 
 
@@ -296,7 +300,7 @@ class SpanSets:
         if node.op == "||":
             return self.add(F.col(left) | F.col(right))
         if node.op == "&&":
-            both = F.max(left).over(TRACE) & F.max(right).over(TRACE)
+            both = F.max(left).over(by_trace()) & F.max(right).over(by_trace())
             return self.add((F.col(left) | F.col(right)) & both)
         return self.related(node.op, left, right)
 
