@@ -12,7 +12,7 @@ All counts come from all labelled rows of folds 1 to 3 and are held in tables
 of SLOTS hashed entries, so the model's size is fixed (about 75 MB). The scale
 is fitted on at most FIT_ROWS labelled rows of fold 4. Fold 0 is held out.
 
-Edge cases: null and empty texts, and texts without letters, get the score of
+Edge cases: null and empty texts, and texts without words, get the score of
 a text without any evidence; unlabelled rows and null labels teach nothing; a
 document with several labels counts as toxic if one says so; without labels of
 both classes every score is the share of toxic rows (0 where there are none);
@@ -40,7 +40,7 @@ SLOTS = 1 << 21
 FIT_ROWS = 20_000
 WINDOW = 8
 TELLING = 8
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"\w+")
 #: Absolute discounts of document counts 1, 2 and more.
 DISCOUNTS = (1.0, 1.6, 2.2)
 SHARED_DISCOUNT = 0.75
@@ -58,7 +58,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic, fold) of the documents that have a label, of the folds that may be learned from."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold(F.col("doc_id")).alias("fold")).filter("fold <> 0")
-    return rows.join(known.filter(fold(F.col("doc_id")) != 0), "doc_id")
+    # Labels grow with the corpus, so the join has one plan at every size.
+    return rows.join(known.filter(fold(F.col("doc_id")) != 0).hint("shuffle_merge"), "doc_id")
 
 
 def word_documents(rows: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ class Model:
     def word(self, word: str) -> float:
         known = self.words.get(word)
         if known is None:
-            if len(self.words) > KEPT:
+            if len(self.words) > 2 * KEPT:
                 self.words.clear()
             p = f"^{word}$"
             known = self.words[word] = sum(self.gram(p[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(p)))
@@ -199,7 +200,10 @@ class Model:
         n = len(found)
         if not n:
             return [0.0] * 6
-        each = np.fromiter(map(self.word, found), np.float64, n)
+        known = list(map(self.words.get, found))
+        if None in known:
+            known = [self.word(w) if k is None else k for w, k in zip(found, known)]
+        each = np.array(known)
         w = min(n, WINDOW)
         run = np.concatenate(([0.0], np.cumsum(each)))
         best = np.partition(each, n - min(n, TELLING))[-TELLING:]
