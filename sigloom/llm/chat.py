@@ -19,6 +19,8 @@ conversation of its own; extra columns are ignored by the turn-row layout
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,6 +121,10 @@ RECORD_SCHEMA = (
 )
 
 
+def _inside(name: str, field: Column) -> Column:
+    return F.concat(F.lit(name + "[]."), field)
+
+
 def canonical_json(df: DataFrame, json: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """As canonical_turns(), for JSON records of mixed layouts: each record's own field paths are hashed."""
     arrays = [p.split("[]")[0] for paths in layouts() for p in paths if "[]" in p]
@@ -128,7 +134,7 @@ def canonical_json(df: DataFrame, json: str = "record", conv_id: str = "conv_id"
         out = F.array(key)
         for name in dict.fromkeys(arrays):
             fields = F.json_object_keys(F.get_json_object(F.col(json), f"$.{name}[0]"))
-            out = F.when(key == name, F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda x, n=name: F.concat(F.lit(n + "[]."), x))).otherwise(out)
+            out = F.when(key == name, F.transform(F.coalesce(fields, F.array().cast("array<string>")), partial(_inside, name))).otherwise(out)
         return out
 
     prints = path_hash(F.flatten(F.transform(keys, nested)))

@@ -92,7 +92,7 @@ def plan_mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float =
     Needs doc_id and source, and either size or text; other columns travel along.
     """
     sized = docs if "size" in docs.columns else docs.withColumn("size", word_count(F.col("text")))
-    salt = [F.col("text")] if "text" in docs.columns else []
+    salt = [F.col(c) for c in ("text", "_text_hash") if c in docs.columns]
     sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), *salt)).withColumn("_block", F.shiftrightunsigned("_h", 64 - int(math.log2(BLOCKS))).cast("int"))
     targets = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_s")
     sized = sized.drop("source_size", "target", "rank", "copies", "before")
@@ -124,6 +124,19 @@ def training_order(planned: DataFrame, schedule=SCHEDULE) -> DataFrame:
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """docs, each row as often as the mix takes it, in training order.
+
+    The plan is made on ids and sizes; texts are moved once to meet it and once into order. Rows that repeat are
+    planned as one document of their joint size.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), "doc_id", "source", F.xxhash64("text").alias("_text_hash"), word_count(F.col("text")).alias("_words"))
+    slim = keyed.groupBy("doc_id", "source", "_text_hash").agg(F.sum("_words").alias("size"))
+    placed = positions(plan_mix(slim)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text_hash").alias("_hash"), "position")
+    met = keyed.drop("_words").join(placed.hint("shuffle_merge"), keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["source"].eqNullSafe(F.col("_source")) & (keyed["_text_hash"] == F.col("_hash")))
+    return met.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("_rec.*")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns. `taken` sums the copies that were given a training position."""
     planned = plan_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))

@@ -331,6 +331,6 @@ FOUND = ["node", "label", "text_links", "links", "whole"]
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns."""
     kept = join(docs, threshold).filter("keep").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(kept.hint("shuffle_merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    rows = rows.join(kept.hint("shuffle_merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return rows.dropDuplicates(["_doc", "_hash"]).select("_rec.*")
