@@ -6,7 +6,7 @@ are log-odds of a token lying inside the marked article, learned from pages
 that mark theirs (<article> or <main>), from a bounded sample of them
 (FIT_PAGES, by hash of the id). Elements that are never content by their name,
 role or class (menus, notices, adverts, forms, scripts, comments, ...) are cut
-before the scan, as whole subtrees.
+before the scan and before the weights are learned, as whole subtrees.
 
 Character references are decoded, white space inside a block becomes one space,
 and blocks are joined by an empty line.
@@ -47,7 +47,7 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 #: Weights where no page marks its article.
-DEFAULT = {"word": 1.0, "linked": 0.3, "a": -2.0, "li": -2.0, "ul": -3.0, "p": -0.1, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "other": -0.5}
+DEFAULT = {"word": 1.0, "linked": 0.3, "a": -0.5, "li": -0.5, "ul": -1.0, "p": -0.1, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "other": -0.5}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -169,7 +169,7 @@ def learn(pages: list[str]) -> dict[str, float]:
     counts: dict[str, list[int]] = {}
     for page in pages:
         inside = links = 0
-        for kind, name, _ in tokens(page):
+        for kind, name, _ in without_furniture(list(tokens(page))):
             if kind == "text":
                 if n := len(name.split()):
                     counts.setdefault("linked" if links > 0 else "word", [0, 0])[inside > 0] += n
