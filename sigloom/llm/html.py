@@ -193,9 +193,10 @@ def learn(pages: list[str]) -> dict[str, float]:
 
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:
     """Weights from at most `limit` pages that mark their article, the same ones on every run."""
-    marked = pages.select("page_id", "html").filter(F.lower("html").rlike("<(article|main)[ >]"))
-    chosen = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
-    return learn([r.html for r in chosen.select("html").toLocalIterator()])
+    marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]"))
+    # Ids alone are ranked; the pages themselves are fetched by the few that are chosen.
+    chosen = [r.page_id for r in marked.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect()]
+    return learn([r.html for r in marked.filter(F.col("page_id").isin(chosen)).select("html").limit(limit).toLocalIterator()])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

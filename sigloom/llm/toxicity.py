@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import store
+from sigloom.llm.words import slices
 
 ORDER = 6
 SLOTS = 1 << 21
@@ -46,7 +48,7 @@ DISCOUNTS = (1.0, 1.6, 2.2)
 SHARED_DISCOUNT = 0.75
 #: Share of a letter that no table knows.
 FLOOR = 1 / 300
-KEPT = 250_000
+KEPT = 200_000
 RIDGE = 0.3
 
 
@@ -76,7 +78,7 @@ def word_documents(rows: DataFrame) -> DataFrame:
             held[0].clear()
             held[1].clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[toxic > 0].update(set(WORD.findall(text.lower())))
             if len(held[0]) + len(held[1]) > KEPT:
@@ -133,27 +135,10 @@ class Model:
         self.lower: dict[str, float] = {}
         self.words: dict[str, float] = {}
 
-    def __getstate__(self):
-        """Of the tables, the slots in use: what is shipped is far smaller than the tables while they are not full."""
-        packed = {}
-        for name, table in self.tables.items():
-            used = np.flatnonzero(table).astype(np.uint32)
-            packed[name] = zlib.compress(np.diff(used, prepend=np.uint32(0)).tobytes() + table[used].tobytes(), 1)
-        return {"packed": packed, "prior": self.prior}
-
-    def __setstate__(self, state):
-        found = {}
-        for name, packed in state["packed"].items():
-            raw = zlib.decompress(packed)
-            half = len(raw) // 2
-            found[name] = np.zeros(SLOTS, np.float32)
-            found[name][np.cumsum(np.frombuffer(raw[:half], np.uint32), dtype=np.uint32)] = np.frombuffer(raw[half:], np.float32)
-        self.__init__(found, state["prior"])
-
     def ship(self, docs: DataFrame):
         """Broadcast once; the scale, set later, goes with the tasks. At most SLOTS entries of each table."""
         if self.shipped is None:
-            self.shipped = docs.sparkSession.sparkContext.broadcast(self)
+            self.shipped = docs.sparkSession.sparkContext.broadcast(Packed.of(self))
         return self.shipped
 
     def shared(self, gram: str) -> float:
@@ -188,7 +173,7 @@ class Model:
     def word(self, word: str) -> float:
         known = self.words.get(word)
         if known is None:
-            if len(self.words) > 2 * KEPT:
+            if len(self.words) > KEPT:
                 self.words.clear()
             p = f"^{word}$"
             known = self.words[word] = sum(self.gram(p[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(p)))
@@ -233,6 +218,37 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ weights[:-1] + weights[-1])))))
 
 
+class Packed:
+    """A model as it is shipped: of the tables, the slots in use, compressed."""
+
+    def __init__(self, key: str, tables: dict[str, bytes], prior: float):
+        self.key, self.tables, self.prior = key, tables, prior
+
+    @staticmethod
+    def of(model: Model) -> Packed:
+        packed = {}
+        for name, table in model.tables.items():
+            used = np.flatnonzero(table).astype(np.uint32)
+            packed[name] = zlib.compress(np.diff(used, prepend=np.uint32(0)).tobytes() + table[used].tobytes(), 1)
+        return Packed(uuid.uuid4().hex, packed, model.prior)
+
+    def open(self) -> Model:
+        """The model, of which a worker holds one: opening another lets go of it and of the words it has met."""
+        if self.key not in _OPEN:
+            _OPEN.clear()
+            found = {}
+            for name, packed in self.tables.items():
+                raw = zlib.decompress(packed)
+                half = len(raw) // 2
+                found[name] = np.zeros(SLOTS, np.float32)
+                found[name][np.cumsum(np.frombuffer(raw[:half], np.uint32), dtype=np.uint32)] = np.frombuffer(raw[half:], np.float32)
+            _OPEN[self.key] = Model(found, self.prior)
+        return _OPEN[self.key]
+
+
+_OPEN: dict[str, Model] = {}
+
+
 def place(gram: str) -> int:
     """slot(), outside Spark."""
     return xxhash.xxh64_intdigest(gram.encode(), 42) & (SLOTS - 1)
@@ -251,8 +267,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         shipped = model.ship(docs)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([shipped.value.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            model = shipped.value.open()
+            for batch in slices(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([model.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
         found = chosen.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
         if len(found):
@@ -265,8 +282,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shipped, scale = model.ship(docs), model.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.array([shipped.value.score(t or "", scale) for t in batch.column(2).to_pylist()])
+        opened = shipped.value.open()
+        for batch in slices(batches):
+            scores = np.array([opened.score(t or "", scale) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "text")
@@ -279,7 +297,8 @@ def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([shipped.value.score(t or "", scale) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+        opened = shipped.value.open()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([opened.score(t or "", scale) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

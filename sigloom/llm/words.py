@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words in a shingle.
 WIDTH = 5
@@ -82,6 +83,13 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
     """Runs of texts of about `size` characters; a longer text is a run of its own."""
     part, held = [], 0

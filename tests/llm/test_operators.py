@@ -58,8 +58,7 @@ def test_toxicity_model_survives_shipping():
     tables = {n: np.zeros(toxicity.SLOTS, np.float32) for n in ("top.t", "top.o", "context.nt", "context.no", "context.dt", "context.do", "shared.n", "shared_context.n", "shared_context.kinds")}
     tables["top.t"][[5, 99, toxicity.SLOTS - 1]] = [1, 2, 3]
     model = toxicity.Model(tables, 0.25)
-    other = object.__new__(toxicity.Model)
-    other.__setstate__(model.__getstate__())
+    other = toxicity.Packed.of(model).open()
     assert all((other.tables[n] == t).all() for n, t in tables.items()) and other.score("any text") == 0.25
 
 
