@@ -21,5 +21,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends there, and a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

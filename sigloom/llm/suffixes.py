@@ -7,7 +7,7 @@ A full suffix array of the corpus would move each suffix; two equal strings
 need only be met once. So suffixes are sorted at a cover sample alone: places
 such that two equal LENGTH-byte strings have sampled places at the same offset.
 The sample is chosen by content (the least of the GRAM-byte hashes inside each
-string, leftmost on ties), which keeps 3 % of all places; a difference cover of
+string, leftmost on ties), which keeps 4 % of all places; a difference cover of
 fixed residues has the same property but keeps 12 %, which did not fit the disk
 allowed (see README). A bucket holds the suffixes whose sampled place begins
 with the same gram. Buckets with one text are dropped unseen. In the others the
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sigloom.llm import store, words
 
 LENGTH = 100
-GRAM = 32
+GRAM = 48
 #: Suffixes of one bucket that a task orders; larger buckets are dealt by string.
 HOT = 2048
 #: Bytes hashed at once, and strings ordered at once.
@@ -48,6 +48,13 @@ _PLACE_BITS = 22
 _powers: dict[int, np.ndarray] = {}
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**i mod 2**64 for i < n."""
     known = _powers.get(base)
@@ -100,11 +107,11 @@ def cover(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def samples(docs: DataFrame) -> DataFrame:
     """(gram, doc_id, h, place, kind) of every sampled place; kind 1: known to repeat, 2: a mark that the gram does.
 
-    A gram met twice in a batch is settled there: its places need no meeting with others, and one mark stands for them.
+    A gram met twice in a slice of a batch is settled there: its places need no meeting with others, and one mark stands for them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             parts, at = [], 0
             for part in words.chunks([t or "" for t in batch.column(1).to_pylist()], CHUNK):
@@ -161,11 +168,11 @@ def repeated(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "gram bigint, doc_id bigint, h bigint, place int")
 
 
-def strings_around(flagged: DataFrame) -> DataFrame:
+def strings_around(flagged: DataFrame, column: str) -> DataFrame:
     """(gram, doc_id, first, bytes) for each flagged place of texts joined with them: the bytes of all strings that have the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, places, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for part in words.chunks(batch.column(1).to_pylist(), CHUNK):
                 raw = [t.encode() for t in part]
@@ -177,7 +184,7 @@ def strings_around(flagged: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array([ids[at + t] for t in text.tolist()], pa.int64()), pa.array(first.astype(np.int32)), pa.array(cut, pa.binary())], ["gram", "doc_id", "first", "bytes"])
                 at += len(part)
 
-    return flagged.select("doc_id", "text", "places").mapInArrow(run, "gram bigint, doc_id bigint, first int, bytes binary")
+    return flagged.filter(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(run, "gram bigint, doc_id bigint, first int, bytes binary")
 
 
 def each_string(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,15 +265,17 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     sums = rows.select("id", "doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     first = sums.groupBy("whole").agg(F.min("doc_id").alias("first"))
     flagged = store.written(repeated(samples(rows.select("doc_id", "text", "h"))), "flagged")
-    large = flagged.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("gram")
-    places = flagged.groupBy("doc_id", "h").agg(F.collect_list("place").alias("places"))
-    texts = store.written(rows.join(places, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "places"), "repeating-texts")
-    around = store.written(strings_around(texts), "suffixes")
-    stretches = later_of_buckets(around.join(large, "gram", "left_anti")).unionByName(later_of_strings(around.join(large, "gram", "left_semi")))
+    large = flagged.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
+    marked = flagged.join(large, "gram", "left")
+    places = marked.groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("place"))).alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot_places"))
+    # Both grow with the corpus, so the join has one plan at every size.
+    texts = store.written(rows.join(places.hint("shuffle_merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "places", "hot_places"), "repeating-texts")
+    # Each suffix is moved once, by its bucket or string by string.
+    stretches = later_of_buckets(strings_around(texts, "places")).unionByName(later_of_strings(strings_around(texts, "hot_places")))
     cuts = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             out = []
             for doc_id, h, text, cuts in zip(*(c.to_pylist() for c in batch.columns)):
                 raw, kept, at, removed, spans = text.encode(), [], 0, 0, 0
@@ -283,7 +292,7 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 out.append((doc_id, h, removed, spans, hashlib.sha256(left).hexdigest(), left))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = texts.join(cuts, "doc_id").select("doc_id", "h", "text", "cuts").mapInArrow(remove, "doc_id bigint, h bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    changed = texts.join(cuts.hint("shuffle_merge"), "doc_id").select("doc_id", "h", "text", "cuts").mapInArrow(remove, "doc_id bigint, h bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     every = sums.join(first, "whole").join(changed.withColumnRenamed("doc_id", "c_id").withColumnRenamed("h", "c_h"), (F.col("doc_id") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return every.select(
