@@ -38,7 +38,7 @@ GRAM = 48
 #: Suffixes of one bucket that a task orders; larger buckets are dealt by string.
 HOT = 2048
 #: Bytes hashed at once, and strings ordered at once.
-CHUNK, STRINGS = 1 << 20, 1 << 19
+CHUNK, STRINGS = 1 << 18, 1 << 17
 LOWEST = -(1 << 63)
 
 _U = np.uint64
@@ -60,7 +60,7 @@ def powers(base: int, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
         with np.errstate(over="ignore"):
-            known = _powers[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, CHUNK), base, np.uint64))))
+            known = _powers[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 2 * CHUNK), base, np.uint64))))
     return known[:n]
 
 
