@@ -144,7 +144,7 @@ def repeated(found: DataFrame) -> DataFrame:
     rows = found.repartition(dealt).sortWithinPartitions("gram", F.col("kind").desc(), "h", "place", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (gram, kind, h, place, row waiting, gram known to repeat)
+        before = None  # (row waiting, gram known to repeat, row already emitted)
         for batch in batches:
             gram, ids, h, place, kind = (batch.column(i).to_numpy() for i in range(5))
             if before is not None:
@@ -160,8 +160,9 @@ def repeated(found: DataFrame) -> DataFrame:
             keep = ~same & (kind < 2) & (many[group] | (kind == 1))
             if before is not None and before[2]:
                 keep[0] = False
-            # The last row waits: the next batch may go on with its gram.
-            before = (gram[-1], ids[-1], h[-1], place[-1], kind[-1]), bool(many[-1]), bool(keep[-1]) or (before is not None and before[2] and len(gram) == 1)
+            # The first copy of the last text and place waits: the next batch may go on with its gram.
+            w = np.flatnonzero(~same)[-1]
+            before = (gram[w], ids[w], h[w], place[w], kind[w]), bool(many[-1]), bool(keep[w]) or (before is not None and before[2] and w == 0)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, ids, h, place)], ["gram", "doc_id", "h", "place"])
 

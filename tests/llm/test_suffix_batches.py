@@ -1,0 +1,33 @@
+"""Copies of a text that Arrow batches part."""
+
+import pytest
+
+pytest.importorskip("sigloom.llm.registry")
+
+from sigloom.llm import suffixes  # noqa: E402
+from tests.llm.test_operators import brute_removed  # noqa: E402
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.fixture(params=[1, 2, 3, 10_000])
+def batch(spark, request):
+    spark.conf.set(BATCH, request.param)
+    yield request.param
+    spark.conf.unset(BATCH)
+
+
+def test_first_copy_is_flagged_over_batches(spark, batch):
+    # Of each gram: copies of text 1, then copies of text 2, and a text alone.
+    rows = [(7, 5, 1, 0, 0), (7, 9, 1, 0, 0), (7, 11, 1, 0, 0), (7, 3, 2, 4, 0), (7, 6, 2, 4, 0), (8, 1, 1, 2, 0), (8, 2, 1, 2, 0)]
+    found = spark.createDataFrame(rows, "gram bigint, doc_id bigint, h bigint, place int, kind int")
+    assert sorted(tuple(r) for r in suffixes.repeated(found).collect()) == [(7, 3, 2, 4), (7, 5, 1, 0)]
+
+
+@pytest.mark.parametrize("ids", [(2, 3, 1), (1, 3, 2), (1, 2, 3)])
+def test_dedup_over_batches(spark, batch, ids):
+    line = "".join(chr(97 + i * i * 7 % 26) + str(i) for i in range(90))
+    texts = (line + " ends here", line + " ends here", "begins apart " + line)
+    rows = sorted(zip(ids, texts))
+    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removed(rows)
