@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.llm import store
+
 SEED = 7411
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -138,6 +140,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns. `taken` sums the copies that were given a training position."""
-    planned = plan_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    """The contract's columns. `taken` sums the copies of a document that stand in the written training order, planned as in mix_documents()."""
+    rows = store.written(docs.select("doc_id", "source", F.xxhash64("text").alias("_text_hash"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    slim = rows.groupBy("doc_id", "source", "_text_hash").agg(F.sum("size").alias("size"))
+    order = store.written(training_order(plan_mix(slim)).select("doc_id", "source", "_text_hash", "position"), "training-order")
+    counted = order.filter("position BETWEEN 0 AND 1").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_text_hash").alias("_hash")).agg(F.count("*").cast("int").alias("_n"))
+    met = rows.join(counted.hint("shuffle_merge"), rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].eqNullSafe(F.col("_source")) & (rows["_text_hash"] == F.col("_hash")), "left")
+    targets = source_targets(rows.select("source", "size")).withColumnRenamed("source", "_s")
+    copies = F.coalesce("_n", F.lit(0))
+    return met.join(targets, met["source"].eqNullSafe(targets["_s"])).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
