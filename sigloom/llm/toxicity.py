@@ -8,9 +8,13 @@ nothing, and one seen in a single document next to nothing (its whole count is
 discounted). A text's length-normalised log-likelihood difference, that of its
 best window and that of its most telling words go into a logistic scale.
 
-All counts come from all labelled rows of folds 1 to 3 and are held in tables
-of SLOTS hashed entries, so the model's size is fixed (about 75 MB). The scale
-is fitted on at most FIT_ROWS labelled rows of fold 4. Fold 0 is held out.
+All counts come from all labelled rows of folds 1 to 3. Each letter sequence has
+counts of its own, so the model grows with the number of distinct sequences: no
+two share an entry, and none is left out. Sequences are found by their 64-bit
+hashes; training fails should two of them have the same. Every worker holds the
+model, 36 to 42 bytes for each distinct sequence of the given tables (5.9 MB at
+sf0.1). The scale is fitted on at most FIT_ROWS labelled rows of fold 4. Fold 0
+is held out.
 
 Edge cases: null and empty texts, and texts without words, get the score of
 a text without any evidence; unlabelled rows and null labels teach nothing; a
@@ -38,6 +42,7 @@ from sigloom.llm import store
 from sigloom.llm.words import slices
 
 ORDER = 6
+#: Entries of a table that are packed at once.
 SLOTS = 1 << 21
 FIT_ROWS = 20_000
 WINDOW = 8
@@ -92,32 +97,31 @@ def discount(n: Column) -> Column:
     return F.when(n == 0, 0.0).when(n == 1, DISCOUNTS[0]).when(n == 2, DISCOUNTS[1]).otherwise(DISCOUNTS[2])
 
 
-def slot(gram: Column) -> Column:
-    return F.xxhash64(gram).bitwiseAND(SLOTS - 1)
-
-
 def tables(words: DataFrame) -> dict[str, np.ndarray]:
-    """Model tables by slot, from the word counts. At most SLOTS rows of each reach the driver."""
+    """Model tables from the word counts: columns in order of the sequence's hash, `.key`. A row of each distinct sequence reaches the driver."""
     padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("p"), "toxic", "ordinary")
     gram = F.transform(F.sequence(F.lit(2), F.char_length("p")), lambda i: F.substring("p", F.greatest(i - (ORDER - 1), F.lit(1)), F.least(i, F.lit(ORDER))))
     top = padded.select(F.explode(gram).alias("g"), "toxic", "ordinary").groupBy("g").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
     top = store.written(top, "toxicity-grams")
     context = F.expr("left(g, char_length(g) - 1)")
-    pieces = {
-        "top": top.groupBy(slot(F.col("g")).alias("s")).agg(F.sum("t").alias("t"), F.sum("o").alias("o")),
-        "context": top.groupBy(slot(context).alias("s")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum(discount(F.col("t"))).alias("dt"), F.sum(discount(F.col("o"))).alias("do")),
-    }
     ends = top.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("g")), lambda k: F.substr("g", k))).alias("g")).distinct()
     shared = ends.filter("char_length(g) > 1").groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("n"))
-    pieces["shared"] = shared.groupBy(slot(F.col("g")).alias("s")).agg(F.sum("n").alias("n"))
-    pieces["shared_context"] = shared.groupBy(slot(context).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    pieces = {
+        "top": top,
+        "context": top.groupBy(context.alias("g")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), F.sum(discount(F.col("t"))).alias("dt"), F.sum(discount(F.col("o"))).alias("do")),
+        "shared": shared,
+        "shared_context": shared.groupBy(context.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")),
+    }
     out = {}
     for name, piece in pieces.items():
-        found = piece.toArrow()
-        place = found.column("s").to_numpy()
+        found = piece.withColumn("g", F.xxhash64("g")).toArrow()
+        keys = found.column("g").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        out[f"{name}.key"] = keys = keys[order]
+        if (keys[1:] == keys[:-1]).any():
+            raise ValueError(f"two letter sequences of {name} have one hash")
         for c in found.column_names[1:]:
-            out[f"{name}.{c}"] = np.zeros(SLOTS, np.float32)
-            out[f"{name}.{c}"][place] = found.column(c).to_numpy()
+            out[f"{name}.{c}"] = found.column(c).to_numpy()[order].astype(np.float32)
     return out
 
 
@@ -136,11 +140,17 @@ class Model:
         self.words: dict[str, float] = {}
 
     def ship(self, docs: DataFrame):
-        """Broadcast once; the scale, set later, goes with the tasks. At most SLOTS entries of each table."""
+        """Broadcast once; the scale, set later, goes with the tasks. The tables have an entry for each distinct sequence."""
         if self.shipped is None:
             self.shipped = docs.sparkSession.sparkContext.broadcast(Packed.of(self))
         return self.shipped
 
+    def find(self, table: str, gram: str) -> int | None:
+        """The entry of a sequence in a table."""
+        keys, key = self.tables[f"{table}.key"], key_of(gram)
+        at = int(keys.searchsorted(np.uint64(key)))
+        return at if at < len(keys) and int(keys[at]) == key else None
+
     def shared(self, gram: str) -> float:
         """Continuation probability of a sequence's last letter, the same for both classes."""
         if not gram:
@@ -149,34 +159,44 @@ class Model:
             if len(self.lower) > KEPT:
                 self.lower.clear()
             below, t = self.shared(gram[1:]), self.tables
-            at = place(gram[:-1])
-            n = float(t["shared_context.n"][at])
-            if n:
-                below = (max(float(t["shared.n"][place(gram)]) - SHARED_DISCOUNT, 0.0) + SHARED_DISCOUNT * float(t["shared_context.kinds"][at]) * below) / n
+            at = self.find("shared_context", gram[:-1])
+            if at is not None:
+                here = self.find("shared", gram)
+                seen = 0.0 if here is None else float(t["shared.n"][here])
+                below = (max(seen - SHARED_DISCOUNT, 0.0) + SHARED_DISCOUNT * float(t["shared_context.kinds"][at]) * below) / float(t["shared_context.n"][at])
             self.lower[gram] = below
         return self.lower[gram]
 
     def gram(self, gram: str) -> float:
         """Log-likelihood difference of a sequence's last letter."""
-        if gram not in self.grams:
+        known = self.grams.get(gram)
+        if known is None:
             if len(self.grams) > KEPT:
                 self.grams.clear()
-            t, below, at, here = self.tables, self.shared(gram[1:]), place(gram[:-1]), place(gram)
-            logs = []
-            for c in "to":
-                n, k = float(t[f"context.n{c}"][at]), float(t[f"top.{c}"][here])
-                cut = DISCOUNTS[min(int(k), 3) - 1] if k else 0.0
-                logs.append(math.log((max(k - cut, 0.0) + max(float(t[f"context.d{c}"][at]), 1e-3) * below) / n if n else below))
-            self.grams[gram] = logs[0] - logs[1]
-        return self.grams[gram]
+            known, t, at = 0.0, self.tables, self.find("context", gram[:-1])
+            # After a context that neither class has seen, both back off to the same share.
+            if at is not None:
+                below, here = self.shared(gram[1:]), self.find("top", gram)
+                logs = []
+                for c in "to":
+                    n, k = float(t[f"context.n{c}"][at]), 0.0 if here is None else float(t[f"top.{c}"][here])
+                    cut = DISCOUNTS[min(int(k), 3) - 1] if k else 0.0
+                    logs.append(math.log((max(k - cut, 0.0) + max(float(t[f"context.d{c}"][at]), 1e-3) * below) / n if n else below))
+                known = logs[0] - logs[1]
+            self.grams[gram] = known
+        return known
 
     def word(self, word: str) -> float:
         known = self.words.get(word)
         if known is None:
             if len(self.words) > KEPT:
                 self.words.clear()
-            p = f"^{word}$"
-            known = self.words[word] = sum(self.gram(p[max(0, i - ORDER + 1) : i + 1]) for i in range(1, len(p)))
+            p, known = f"^{word}$", 0.0
+            for i in range(2, len(p) + 1):
+                gram = p[i - ORDER if i > ORDER else 0 : i]
+                part = self.grams.get(gram)
+                known += self.gram(gram) if part is None else part
+            self.words[word] = known
         return known
 
     def features(self, text: str) -> list[float]:
@@ -219,29 +239,21 @@ class Model:
 
 
 class Packed:
-    """A model as it is shipped: of the tables, the slots in use, compressed."""
+    """A model as it is shipped: its tables, compressed SLOTS entries at a time."""
 
-    def __init__(self, key: str, tables: dict[str, bytes], prior: float):
+    def __init__(self, key: str, tables: dict[str, tuple[np.dtype, list[bytes]]], prior: float):
         self.key, self.tables, self.prior = key, tables, prior
 
     @staticmethod
     def of(model: Model) -> Packed:
-        packed = {}
-        for name, table in model.tables.items():
-            used = np.flatnonzero(table).astype(np.uint32)
-            packed[name] = zlib.compress(np.diff(used, prepend=np.uint32(0)).tobytes() + table[used].tobytes(), 1)
+        packed = {name: (table.dtype, [zlib.compress(table[at : at + SLOTS].tobytes(), 1) for at in range(0, len(table), SLOTS)]) for name, table in model.tables.items()}
         return Packed(uuid.uuid4().hex, packed, model.prior)
 
     def open(self) -> Model:
         """The model, of which a worker holds one: opening another lets go of it and of the words it has met."""
         if self.key not in _OPEN:
             _OPEN.clear()
-            found = {}
-            for name, packed in self.tables.items():
-                raw = zlib.decompress(packed)
-                half = len(raw) // 2
-                found[name] = np.zeros(SLOTS, np.float32)
-                found[name][np.cumsum(np.frombuffer(raw[:half], np.uint32), dtype=np.uint32)] = np.frombuffer(raw[half:], np.float32)
+            found = {name: np.concatenate([np.zeros(0, dtype)] + [np.frombuffer(zlib.decompress(part), dtype) for part in parts]) for name, (dtype, parts) in self.tables.items()}
             _OPEN[self.key] = Model(found, self.prior)
         return _OPEN[self.key]
 
@@ -249,9 +261,9 @@ class Packed:
 _OPEN: dict[str, Model] = {}
 
 
-def place(gram: str) -> int:
-    """slot(), outside Spark."""
-    return xxhash.xxh64_intdigest(gram.encode(), 42) & (SLOTS - 1)
+def key_of(gram: str) -> int:
+    """F.xxhash64(), outside Spark."""
+    return xxhash.xxh64_intdigest(gram.encode(), 42)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
