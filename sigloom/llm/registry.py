@@ -52,7 +52,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), kept=False).drop("kept")
 
 
 QUERIES = {"op2_sharding": op2_sharding, "op5_mixing": op5_mixing, "op8_chat": op8_chat, "op10_html": op10_html, "op3_fingerprints": op3_fingerprints, "op7_tokenids": op7_tokenids, "op1_toxicity": op1_toxicity, "op4_ngram_join": op4_ngram_join, "op6_suffix_dedup": op6_suffix_dedup, "op9_decontamination": op9_decontamination}

@@ -1,306 +1,406 @@
-"""Suffix-array deduplication of exact repeats, one suffix bucket at a time.
-
-Every byte covered by a LENGTH-byte string that also starts earlier (in a
-document of smaller id, or earlier in the same one) is removed.
-
-A full suffix array of the corpus would move each suffix; two equal strings
-need only be met once. So suffixes are sorted at a cover sample alone: places
-such that two equal LENGTH-byte strings have sampled places at the same offset.
-The sample is chosen by content (the least of the GRAM-byte hashes inside each
-string, leftmost on ties), which keeps 4 % of all places; a difference cover of
-fixed residues has the same property but keeps 12 %, which did not fit the disk
-allowed (see README). A bucket holds the suffixes whose sampled place begins
-with the same gram. Buckets with one text are dropped unseen. In the others the
-strings around the sampled place are ordered one bucket at a time, ties being
-resolved by their ranks (hashes of whole strings), so memory is bounded by a
-bucket; a bucket above HOT suffixes is not gathered at all but dealt by string.
+"""Suffix-array deduplication of exact repeats by a difference cover, block by block.
+
+Every byte covered by a LENGTH-byte string that also starts earlier (in an
+earlier document, or earlier in the same one) is removed. The texts are laid end
+to end in order of id, so "earlier" is the order of places in one long text.
+
+A full suffix array would move each suffix of the corpus. Two suffixes matter
+here only if they tie for LENGTH bytes, and a difference cover tells in advance
+which can:
+
+1. Cover sample. The places whose offset in their document, modulo PERIOD, is in
+   COVER. For any two places there is a shift below PERIOD that takes both into
+   the sample, so two equal LENGTH-byte strings hold equal GRAM-byte strings at
+   sampled places of the same shift. The sample's suffixes are sorted to GRAM
+   bytes, bucket by bucket, which ranks them: alone, or tied with another.
+2. Blocks. A suffix with no tied sample within PERIOD places is settled by these
+   ranks and goes into no bucket. The others are taken one block of suffix
+   buckets at a time; a block's buckets are sorted to LENGTH bytes, each in one
+   task, and the first of each tie is told from the later ones. Shuffle files of
+   a block are gone before the next begins, so disk and memory hold one block.
+
+Strings are sorted by hashes of their bytes, not by the bytes: 48 bits for the
+sample, where a collision only sends more suffixes to the buckets, and 96 bits
+for whole strings, where two different ones among 10**13 collide with
+probability 10**-3. A chunk of texts (CHUNK bytes) sends each string once, its
+later copies being settled inside, and gets a bit back for each: no task gets
+more of a frequent string than one copy a chunk.
 
 Edge cases: null text is empty; texts shorter than LENGTH keep all bytes; null
-ids come first; rows with equal ids are one document's text each, judged
-against smaller ids and against each other's earlier places; extra columns are
-ignored; an empty table gives an empty result.
+ids come first; rows with equal ids are documents of their own, in order of
+their texts' hash, so the later of two equal rows is removed whole; ids of any
+type that can be ordered are kept as they are; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import store, words
 
 LENGTH = 100
-GRAM = 48
-#: Suffixes of one bucket that a task orders; larger buckets are dealt by string.
-HOT = 2048
-#: Bytes hashed at once, and strings ordered at once.
-CHUNK, STRINGS = 1 << 18, 1 << 17
-LOWEST = -(1 << 63)
+PERIOD = 57
+#: Fixed value: a perfect difference set; each difference modulo 57 arises once.
+COVER = np.array((0, 1, 3, 13, 32, 36, 43, 52))
+GRAM = LENGTH - PERIOD + 1
+#: Text bytes of a chunk, of a task that makes chunks, and hashed at once.
+CHUNK, PART, SLAB = 2 << 20, 64 << 20, 1 << 16
+#: Strings of one bucket, about.
+BUCKET = 1 << 20
+#: Blocks of suffix buckets, taken in turn; a power of two.
+BLOCKS = 4
+MOST_TASKS = 1 << 17
+GRAM_BITS = 48
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_PLACE_BITS = 22
-_powers: dict[int, np.ndarray] = {}
+#: Odd multipliers of the two families of hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+_LETTERS = (words._BYTE, words.mixed(words._BYTE + _U(17)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that what is made of one stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n."""
-    known = _powers.get(base)
+def powers(family: int, inverse: bool, n: int) -> np.ndarray:
+    """base**i or base**-i mod 2**64 for i < n."""
+    known = _powers.get((family, inverse))
     if known is None or len(known) < n:
+        base = pow(_BASES[family], -1, 1 << 64) if inverse else _BASES[family]
         with np.errstate(over="ignore"):
-            known = _powers[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, 2 * CHUNK), base, np.uint64))))
+            known = _powers[family, inverse] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(n, SLAB + LENGTH + 1), base, np.uint64))))
     return known[:n]
 
 
-def string_hashes(buf: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the `length` bytes at each place of buf, or at `starts`."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words._BYTE[buf] * powers(_BASE, len(buf)))))
-    if starts is None:
-        return words.mixed((sums[length:] - sums[: len(sums) - length]) * powers(_INVERSE, len(sums) - length))
-    return words.mixed((sums[starts + length] - sums[starts]) * powers(_INVERSE, len(buf) + 1)[starts])
-
-
-def cover(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled places: (text, gram hash, place, first, last), where the strings that start from first to last have this sample."""
-    empty = np.zeros(0, np.int64)
-    size = np.array([len(t) for t in texts])
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    if len(buf) < LENGTH:
-        return empty, empty.astype(np.uint64), empty, empty, empty
-    grams = string_hashes(buf, GRAM)
-    width = LENGTH - GRAM + 1
-    bits = max(_PLACE_BITS, int(len(buf)).bit_length())
-    least = (grams & _U(~((1 << bits) - 1) & (1 << 64) - 1)) | np.arange(len(grams), dtype=np.uint64)
-    span = 1
-    while 2 * span <= width:
-        least = np.minimum(least[: len(least) - span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    sample = (least & _U((1 << bits) - 1)).astype(np.int64)
-    ends = np.cumsum(size)
-    text = np.repeat(np.arange(len(texts)), size)[: len(sample)]
-    inside = np.arange(len(sample)) + LENGTH <= ends[text]
-    start = np.flatnonzero(inside)
-    if not len(start):
-        return empty, empty.astype(np.uint64), empty, empty, empty
-    sample, text = sample[start], text[start]
-    change = np.flatnonzero(np.concatenate(([True], (sample[1:] != sample[:-1]) | (text[1:] != text[:-1]))))
-    last = np.append(change[1:], len(start)) - 1
-    text, place = text[change], sample[change]
-    offset = (ends - size)[text]
-    return text, grams[place], place - offset, start[change] - offset, start[last] - offset
-
-
-def samples(docs: DataFrame) -> DataFrame:
-    """(gram, doc_id, h, place, kind) of every sampled place; kind 1: known to repeat, 2: a mark that the gram does.
-
-    A gram met twice in a slice of a batch is settled there: its places need no meeting with others, and one mark stands for them.
-    """
+def hashed(body: np.ndarray, places: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+    """64-bit hashes of the `length` bytes at each of the ascending places."""
+    out = np.empty(len(places), np.uint64)
+    at = 0
+    while at < len(places):
+        low = int(places[at])
+        stop = int(places.searchsorted(low + SLAB))
+        buf = body[low : int(places[stop - 1]) + length]
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_LETTERS[family][buf] * powers(family, False, len(buf)), out=sums[1:])
+        here = places[at:stop] - low
+        out[at:stop] = words.mixed((sums[here + length] - sums[here]) * powers(family, True, len(buf))[here])
+        at = stop
+    return out
+
+
+def cover_places(sizes: np.ndarray) -> np.ndarray:
+    """Sampled places of texts laid end to end, ascending: those whose GRAM bytes lie in a LENGTH-byte string of one text."""
+    ends = np.cumsum(sizes)
+    periods = np.where(sizes >= LENGTH, -(-(sizes - GRAM + 1) // PERIOD), 0)
+    which = np.repeat(np.arange(len(sizes)), periods)
+    nth = np.arange(periods.sum()) - np.repeat(np.cumsum(periods) - periods, periods)
+    places = ((ends - sizes)[which] + nth * PERIOD)[:, None] + COVER
+    return places[places <= (ends[which] - GRAM)[:, None]]
+
+
+def candidate_runs(sizes: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the suffixes with a tied sample within PERIOD places."""
+    ends = np.cumsum(sizes)
+    text = ends.searchsorted(tied, "right")
+    first = np.maximum(tied - (PERIOD - 1), (ends - sizes)[text])
+    last = np.minimum(tied, ends[text] - LENGTH)
+    first, last = first[first <= last], last[first <= last]
+    if not len(first):
+        return first, last
+    opens = np.concatenate(([True], first[1:] > last[:-1] + 1))
+    return first[opens], last[np.append(np.flatnonzero(opens)[1:], len(last)) - 1]
+
+
+def expanded(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places of the runs."""
+    size = last - first + 1
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Ascending integers as differences, byte plane by byte plane; high planes are nearly all zero and compress."""
+    steps = np.diff(values, prepend=_U(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def unbits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def buckets_of(keys: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending keys: the buckets that have some (the key's high bits), and where each begins (one entry more)."""
+    bucket = (keys >> _U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)])
+    return bucket[begin], np.append(begin, len(keys))
+
+
+def batch_of(schema: str, columns) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def lay_out(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Chunks (chunk, ids, sizes, body) of the texts in order of id, and the number of bytes. Chunk numbers ascend with the order."""
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(total / PART))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = (rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            parts, at = [], 0
-            for part in words.chunks([t or "" for t in batch.column(1).to_pylist()], CHUNK):
-                text, gram, place, _, _ = cover([t.encode() for t in part])
-                parts.append((text + at, gram.view(np.int64), place))
-                at += len(part)
-            text, gram, place = (np.concatenate(c) for c in zip(*parts))
-            h = hashes[text]
-            order = np.lexsort((place, h, gram))
-            gram, h, place, text = gram[order], h[order], place[order], text[order]
-            # Equal texts at equal places are copies and no repeat of their own.
-            new = np.concatenate(([True], gram[1:] != gram[:-1]))[: len(gram)]
-            other = ~new & np.concatenate(([False], (h[1:] != h[:-1]) | (place[1:] != place[:-1])))[: len(gram)]
-            group = np.cumsum(new) - 1
-            repeats = np.bincount(group[other], minlength=int(group[-1]) + 1 if len(group) else 0) > 0
-            kind = repeats[group].astype(np.int32) if len(group) else np.zeros(0, np.int32)
-            marks = np.flatnonzero(new)[repeats]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((gram, gram[marks]))), pa.array(np.concatenate((ids[text], np.full(len(marks), LOWEST)))), pa.array(np.concatenate((h, h[marks]))), pa.array(np.concatenate((place, np.full(len(marks), -1))).astype(np.int32)), pa.array(np.concatenate((kind, np.full(len(marks), 2, np.int32))))],
-                ["gram", "doc_id", "h", "place", "kind"],
-            )
-
-    rows = docs.filter(F.octet_length("text") >= LENGTH)
-    return rows.mapInArrow(run, "gram bigint, doc_id bigint, h bigint, place int, kind int")
-
-
-def repeated(found: DataFrame) -> DataFrame:
-    """(gram, doc_id, h, place) of the places whose gram has another text or place. Copies of a text count as its first."""
-    dealt = F.when(F.col("kind") == 1, F.xxhash64("h", "place")).otherwise(F.col("gram"))
-    rows = found.repartition(dealt).sortWithinPartitions("gram", F.col("kind").desc(), "h", "place", "doc_id")
+        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            of_texts = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(ids))
+            columns = [pa.array([number], pa.int64()), of_texts, pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "body"])
+
+        for batch in batches:
+            found = batch.column(1).to_pylist()
+            at = 0
+            for i, text in enumerate(found):
+                if texts and held + len(text) > CHUNK:
+                    ids.append(batch.column(0).slice(at, i - at))
+                    at = i
+                    yield chunk()
+                    number, ids, texts, held = number + 1, [], [], 0
+                texts.append(text)
+                held += len(text)
+            ids.append(batch.column(0).slice(at))
+        if texts:
+            yield chunk()
+
+    return store.written(rows.select("doc_id", "text").mapInArrow(run, f"chunk bigint, ids array<{kind}>, sizes array<bigint>, body binary"), "chunks"), total
+
+
+class Chunk:
+    """A row of the chunk table."""
+
+    def __init__(self, sizes, body):
+        self.sizes = sizes.values.to_numpy(zero_copy_only=False) if hasattr(sizes, "values") else np.array(sizes, np.int64)
+        self.body = np.frombuffer(body.as_buffer(), np.uint8) if hasattr(body, "as_buffer") else np.frombuffer(body, np.uint8)
+
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places and the keys of their GRAM bytes."""
+        places = cover_places(self.sizes)
+        return places, hashed(self.body, places, GRAM) >> _U(64 - GRAM_BITS)
+
+    def strings(self, first: np.ndarray, last: np.ndarray, block: int = 0, blocks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's suffixes among the runs, in order of their LENGTH bytes: places, whether each opens a tie, and both hashes."""
+        places = expanded(first, last)
+        key = hashed(self.body, places, LENGTH)
+        if blocks > 1:
+            own = key >> _U(64 - int(math.log2(blocks))) == block
+            places, key = places[own], key[own]
+        other = hashed(self.body, places, LENGTH, 1) >> _U(32)
+        order = np.argsort(key, kind="stable")
+        places, key, other = places[order], key[order], other[order]
+        opens = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])))[: len(key)]
+        return places, opens, key, other
+
+
+GRAMS = "bucket bigint, chunk bigint, n int, keys binary, many binary"
+STRINGS = "bucket bigint, chunk bigint, n int, keys binary, others binary"
+RANKS = "chunk bigint, bucket bigint, n int, bits binary"
+
+
+def sample_grams(chunks: DataFrame, shift: int) -> DataFrame:
+    """GRAMS: for each chunk and bucket, the distinct keys of its sampled places, and which it has several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # (row waiting, gram known to repeat, row already emitted)
         for batch in batches:
-            gram, ids, h, place, kind = (batch.column(i).to_numpy() for i in range(5))
-            if before is not None:
-                gram, ids, h, place, kind = (np.concatenate(([b], c)) for b, c in zip(before[0], (gram, ids, h, place, kind)))
-            new = np.concatenate(([True], gram[1:] != gram[:-1]))
-            group = np.cumsum(new) - 1
-            same = np.concatenate(([False], ~new[1:] & (kind[1:] == kind[:-1]) & (h[1:] == h[:-1]) & (place[1:] == place[:-1])))
-            many = np.zeros(group[-1] + 1, bool)
-            many[group[kind == 2]] = True
-            many[group[~new & ~same & (kind == 0)]] = True
-            if before is not None and before[1]:
-                many[0] = True
-            keep = ~same & (kind < 2) & (many[group] | (kind == 1))
-            if before is not None and before[2]:
-                keep[0] = False
-            # The first copy of the last text and place waits: the next batch may go on with its gram.
-            w = np.flatnonzero(~same)[-1]
-            before = (gram[w], ids[w], h[w], place[w], kind[w]), bool(many[-1]), bool(keep[w]) or (before is not None and before[2] and w == 0)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, ids, h, place)], ["gram", "doc_id", "h", "place"])
-
-    return rows.mapInArrow(run, "gram bigint, doc_id bigint, h bigint, place int")
-
-
-def strings_around(flagged: DataFrame, column: str) -> DataFrame:
-    """(gram, doc_id, first, bytes) for each flagged place of texts joined with them: the bytes of all strings that have the sample."""
+            for number, sizes, body in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                keys = np.sort(Chunk(sizes, body).sample()[1])
+                opens = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+                many, keys = np.diff(np.append(opens, len(keys))) > 1, keys[opens]
+                bucket, at = buckets_of(keys, shift)
+                cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+                yield batch_of(GRAMS, [bucket, np.full(len(bucket), number), np.diff(at), [packed(keys[a:b], 6) for a, b in cuts], [bits(many[a:b]) for a, b in cuts]])
+
+    return chunks.select("chunk", "sizes", "body").mapInArrow(run, GRAMS)
+
+
+def one_bucket_at_a_time(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
+    """settle(chunk numbers, sizes, first binary, second binary) of each bucket's rows, as RANKS."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[-1][0]:
+                yield ranks_of(held, settle)
+                held = []
+            held.append(row)
+    if held:
+        yield ranks_of(held, settle)
+
+
+def ranks_of(held: list[tuple], settle) -> pa.RecordBatch:
+    bucket, chunk, n, first, second = zip(*held)
+    flags, at = settle(n, first, second), np.concatenate(([0], np.cumsum(n)))
+    return batch_of(RANKS, [chunk, bucket, n, [bits(flags[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]])
+
+
+def tied_grams(n, keys, many) -> np.ndarray:
+    """Which grams of a bucket are at several places."""
+    key = np.concatenate([unpacked(k, 6) for k in keys])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    tied = np.concatenate([unbits(m, k) for m, k in zip(many, n)])
+    tied[order[1:][same]] = True
+    tied[order[:-1][same]] = True
+    return tied
+
+
+def later_strings(n, keys, others) -> np.ndarray:
+    """Which strings of a bucket an earlier chunk has too; the chunks come in order."""
+    key = np.concatenate([unpacked(k, 8) for k in keys])
+    other = np.concatenate([np.frombuffer(o, "<u4") for o in others])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    alike = other[order][1:] == other[order][:-1]
+    if (same & ~alike).any():
+        order = np.lexsort((other, key))
+        same = key[order][1:] == key[order][:-1]
+        alike = other[order][1:] == other[order][:-1]
+    later = np.zeros(len(key), bool)
+    later[order[1:][same & alike]] = True
+    return later
+
+
+def ranked(rows: DataFrame, parts: int, settle) -> DataFrame:
+    """RANKS of the rows, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids, places, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-            for part in words.chunks(batch.column(1).to_pylist(), CHUNK):
-                raw = [t.encode() for t in part]
-                text, gram, place, first, last = cover(raw)
-                wanted = np.concatenate([np.full(len(p), i) for i, p in enumerate(places[at : at + len(part)])]) * (1 << 40) + np.concatenate([np.array(p, np.int64) for p in places[at : at + len(part)]])
-                chosen = np.isin((text << 40) + place, wanted)
-                text, gram, first, last = text[chosen], gram[chosen], first[chosen], last[chosen]
-                cut = [raw[t][a : b + LENGTH] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array([ids[at + t] for t in text.tolist()], pa.int64()), pa.array(first.astype(np.int32)), pa.array(cut, pa.binary())], ["gram", "doc_id", "first", "bytes"])
-                at += len(part)
-
-    return flagged.filter(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(run, "gram bigint, doc_id bigint, first int, bytes binary")
-
-
-def each_string(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, offset, hash) of every LENGTH-byte string of the pieces."""
-    size = np.array([len(p) for p in pieces])
-    count = size - LENGTH + 1
-    piece = np.repeat(np.arange(len(pieces)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return piece, offset, string_hashes(np.frombuffer(b"".join(pieces), np.uint8), LENGTH, (np.cumsum(size) - size)[piece] + offset)
-
-
-def later_of_buckets(rows: DataFrame) -> DataFrame:
-    """(doc_id, begin, end) of bytes that repeat, from buckets that a task can hold."""
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "first")
+        yield from one_bucket_at_a_time(batches, settle)
+
+    return rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "chunk").mapInArrow(run, RANKS)
+
+
+def with_ranks(chunks: DataFrame, ranks: DataFrame) -> DataFrame:
+    """chunks with `ranks`, those of all their buckets in order. Both grow with the corpus, so the join has one plan at every size."""
+    each = ranks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "bits"))).alias("ranks"))
+    return chunks.join(each.hint("shuffle_merge"), "chunk", "left")
+
+
+def flags_of(ranks: list[dict] | None) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool)] + [unbits(r["bits"], r["n"]) for r in ranks or []])
+
+
+def with_candidates(chunks: DataFrame, ranks: DataFrame, kind: str) -> DataFrame:
+    """chunks with `first` and `last`, the runs of suffixes that the ranks of the cover sample leave open."""
+    schema = f"chunk bigint, ids array<{kind}>, sizes array<bigint>, body binary, first binary, last binary, open bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        strings = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if strings >= STRINGS and row[0] != held[-1][0]:
-                    yield settle(held)
-                    held, strings = [], 0
-                held.append(row)
-                strings += len(row[3]) - LENGTH + 1
-        if held:
-            yield settle(held)
-
-    def settle(held: list[tuple]) -> pa.RecordBatch:
-        gram, ids, first, pieces = zip(*held)
-        piece, offset, rank = each_string(list(pieces))
-        gram, ids, first = np.array(gram), np.array(ids), np.array(first)
-        # Pieces come in order of (gram, document, place), so a stable sort by rank and bucket leaves the earliest first.
-        order = np.lexsort((rank, gram[piece]))
-        g, r = gram[piece][order], rank[order]
-        again = np.concatenate(([False], (g[1:] == g[:-1]) & (r[1:] == r[:-1])))
-        # Rows with equal ids and places are the same place.
-        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-        begin = first[piece] + offset
-        other = (ids[piece[order]] != ids[piece[order[lead]]]) | (begin[order] != begin[order[lead]])
-        later = np.zeros(len(order), bool)
-        later[order] = again & other
-        return runs(ids[piece], begin, later, piece)
-
-    return rows.mapInArrow(run, "doc_id bigint, begin int, end int")
-
-
-def runs(ids: np.ndarray, begin: np.ndarray, later: np.ndarray, piece: np.ndarray) -> pa.RecordBatch:
-    """Consecutive strings of a piece as one stretch of bytes."""
-    chosen = np.flatnonzero(later)
-    ids, begin, piece = ids[chosen], begin[chosen], piece[chosen]
-    change = np.concatenate(([True], (piece[1:] != piece[:-1]) | (begin[1:] != begin[:-1] + 1)))[: len(begin)]
-    start = np.flatnonzero(change)
-    stop = np.append(start[1:], len(begin))[: len(start)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(ids[start], pa.int64()), pa.array(begin[start].astype(np.int32)), pa.array((begin[stop] + LENGTH).astype(np.int32))], ["doc_id", "begin", "end"])
-
-
-def later_of_strings(rows: DataFrame) -> DataFrame:
-    """As later_of_buckets(), for buckets of any size: a row for each string, met by its hash."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, last, count = [], [], []
+            for sizes, body, ranks in zip(batch.column(2), batch.column(3), batch.column(4)):
+                chunk = Chunk(sizes, body)
+                places, keys = chunk.sample()
+                distinct = np.unique(keys)
+                tied = places[flags_of(ranks.as_py())[distinct.searchsorted(keys)]] if len(places) else places
+                a, b = candidate_runs(chunk.sizes, tied)
+                first.append(a.astype("<i8").tobytes())
+                last.append(b.astype("<i8").tobytes())
+                count.append(int((b - a + 1).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first, pa.binary()), pa.array(last, pa.binary()), pa.array(count, pa.int64())], ["chunk", "ids", "sizes", "body", "first", "last", "open"])
+
+    return with_ranks(chunks, ranks).select("chunk", "ids", "sizes", "body", "ranks").mapInArrow(run, schema)
+
+
+def runs_of(first, last) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(first.as_buffer(), "<i8"), np.frombuffer(last.as_buffer(), "<i8")
+
+
+def block_strings(chunks: DataFrame, block: int, blocks: int, shift: int) -> DataFrame:
+    """STRINGS: for each chunk and bucket of the block, its distinct open strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, ids, first = (batch.column(i).to_numpy() for i in range(3))
-            piece, offset, rank = each_string(batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(gram[piece]), pa.array(rank.view(np.int64)), pa.array(ids[piece]), pa.array((first[piece] + offset).astype(np.int32))], ["gram", "rank", "doc_id", "begin"])
+            for number, sizes, body, first, last in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5))):
+                _, opens, key, other = Chunk(sizes, body).strings(*runs_of(first, last), block, blocks)
+                key, other = key[opens], other[opens].astype("<u4")
+                bucket, at = buckets_of(key, shift)
+                cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+                yield batch_of(STRINGS, [bucket, np.full(len(bucket), number), np.diff(at), [packed(key[a:b], 8) for a, b in cuts], [other[a:b].tobytes() for a, b in cuts]])
+
+    return chunks.select("chunk", "sizes", "body", "first", "last").mapInArrow(run, STRINGS)
 
-    strings = rows.mapInArrow(split, "gram bigint, rank bigint, doc_id bigint, begin int")
-    # Ids of copies do not meet here, so (id, place) orders the strings; the least is found with partial aggregation.
-    least = strings.groupBy("gram", "rank").agg(F.min(F.struct("doc_id", "begin")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = strings.join(least, ["gram", "rank"]).filter(F.struct("doc_id", "begin") != F.col("least"))
-    return met.select("doc_id", "begin", (F.col("begin") + LENGTH).alias("end"))
 
+def cut_texts(marked: DataFrame, ranks: DataFrame, kind: str, kept: bool) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document."""
 
-def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, body, first, last, found in zip(*batch.columns):
+                chunk = Chunk(sizes, body)
+                # In order of their keys, so block after block as the ranks are.
+                places, opens, _, _ = chunk.strings(*runs_of(first, last))
+                later = ~opens
+                later[opens] = flags_of(found.as_py())
+                yield removed(chunk, ids.values, np.sort(places[later]), kept)
+
+    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    return with_ranks(marked, ranks).select("ids", "sizes", "body", "first", "last", "ranks").mapInArrow(run, schema)
+
+
+def removed(chunk: Chunk, ids: pa.Array, later: np.ndarray, kept: bool) -> pa.RecordBatch:
+    """The result's rows of a chunk whose strings at the places `later` also start earlier."""
+    ends = np.cumsum(chunk.sizes)
+    text = ends.searchsorted(later, "right")
+    opens = np.flatnonzero(np.concatenate(([True], (later[1:] > later[:-1] + LENGTH) | (text[1:] != text[:-1])))[: len(later)])
+    begin, end = later[opens], later[np.append(opens[1:], len(later))[: len(opens)] - 1] + LENGTH
+    spans = np.bincount(text[opens], minlength=len(ends))
+    gone = np.bincount(text[opens], end - begin, minlength=len(ends)).astype(np.int64)
+    raw, at, digests, left = chunk.body.tobytes(), 0, [], []
+    for start, stop, n in zip((ends - chunk.sizes).tolist(), ends.tolist(), spans.tolist()):
+        pieces = []
+        for a, b in zip(begin[at : at + n].tolist(), end[at : at + n].tolist()):
+            pieces.append(raw[start:a])
+            start = b
+        at += n
+        rest = b"".join([*pieces, raw[start:stop]])
+        digests.append(hashlib.sha256(rest).hexdigest())
+        left.append(rest if n and kept else None)
+    return pa.RecordBatch.from_arrays([ids, pa.array(chunk.sizes), pa.array(gone), pa.array(spans.astype(np.int64)), pa.array(digests, pa.string()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def bits_for(strings: float, bucket: int) -> int:
+    """Buckets are keys with the same high bits; so many bits make buckets of `bucket` strings or fewer."""
+    return max(0, math.ceil(math.log2(max(1.0, strings / bucket))))
+
+
+def tasks_for(strings: float, bucket: int) -> int:
+    """A task for each bucket, up to MOST_TASKS; beyond, a task takes several in turn."""
+    return min(MOST_TASKS, 1 << bits_for(strings, bucket))
+
+
+def deduplicate(docs: DataFrame, kept: bool = True, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every document; `kept` holds the remaining bytes where some were removed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    sums = rows.select("id", "doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    first = sums.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    flagged = store.written(repeated(samples(rows.select("doc_id", "text", "h"))), "flagged")
-    large = flagged.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
-    marked = flagged.join(large, "gram", "left")
-    places = marked.groupBy("doc_id", "h").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("place"))).alias("places"), F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot_places"))
-    # Both grow with the corpus, so the join has one plan at every size.
-    texts = store.written(rows.join(places.hint("shuffle_merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "places", "hot_places"), "repeating-texts")
-    # Each suffix is moved once, by its bucket or string by string.
-    stretches = later_of_buckets(strings_around(texts, "places")).unionByName(later_of_strings(strings_around(texts, "hot_places")))
-    cuts = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            out = []
-            for doc_id, h, text, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                raw, kept, at, removed, spans = text.encode(), [], 0, 0, 0
-                for cut in sorted((c["begin"], c["end"]) for c in cuts):
-                    begin, end = cut[0], min(cut[1], len(raw))
-                    if begin > at or spans == 0:
-                        kept.append(raw[at:begin])
-                        spans += 1
-                    begin = max(begin, at)
-                    removed += max(0, end - begin)
-                    at = max(at, end)
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                out.append((doc_id, h, removed, spans, hashlib.sha256(left).hexdigest(), left))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "h", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    changed = texts.join(cuts.hint("shuffle_merge"), "doc_id").select("doc_id", "h", "text", "cuts").mapInArrow(remove, "doc_id bigint, h bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    every = sums.join(first, "whole").join(changed.withColumnRenamed("doc_id", "c_id").withColumnRenamed("h", "c_h"), (F.col("doc_id") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
-    copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    return every.select(
-        F.col("id").alias("doc_id"),
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    chunks, total = lay_out(docs)
+    grams = store.written(ranked(sample_grams(chunks, GRAM_BITS - bits_for(total * len(COVER) / PERIOD, bucket)), tasks_for(total * len(COVER) / PERIOD, bucket), tied_grams), "cover-ranks")
+    marked = store.written(with_candidates(chunks, grams, kind), "open-suffixes")
+    store.dropped(chunks, grams)
+    each = (marked.agg(F.sum("open")).first()[0] or 0) / blocks
+    shift = 64 - int(math.log2(blocks)) - bits_for(each, bucket)
+    done = [store.written(ranked(block_strings(marked, b, blocks, shift), tasks_for(each, bucket), later_strings), "block-ranks") for b in range(blocks)]
+    return cut_texts(marked, reduce(DataFrame.unionByName, done), kind, kept)

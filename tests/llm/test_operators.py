@@ -262,13 +262,57 @@ def brute_removed(rows, n=suffixes.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 2048])
-def test_suffix_dedup_next_to_brute_force(spark, small, hot):
-    rows = [(r.doc_id, r.text) for r in text_of(small)][:80]
+def order_of(doc_id):
+    return (doc_id is not None, doc_id or 0)
+
+
+def brute_rows(spark, rows):
+    """brute_removed() of rows whose ids may repeat or be null: equal ids go by the hash of their texts."""
+    hashed = [(r.doc_id, r.text or "", r.h) for r in spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "xxhash64(cast(coalesce(text, '') as binary)) AS h").collect()]
+    hashed.sort(key=lambda r: (order_of(r[0]), r[2]))
+    found = brute_removed([(i, text) for i, (_, text, _) in enumerate(hashed)])
+    return sorted(((hashed[i][0], *found[i]) for i in found), key=lambda r: (order_of(r[0]), r[1:]))
+
+
+def suffix_rows(found):
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()), key=lambda r: (order_of(r[0]), r[1:]))
+
+
+@pytest.mark.parametrize("chunk, bucket, blocks", [(1, 1, 4), (5_000, 500, 1), (2 << 20, 1 << 20, 4)])
+def test_suffix_dedup_next_to_brute_force(spark, small, monkeypatch, chunk, bucket, blocks):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "PART", max(chunk, 4_000))
+    monkeypatch.setattr(suffixes, "MOST_TASKS", 8)
+    rows = [(r.doc_id, r.text) for r in text_of(small)][:60]
     passage = rows[3][1][:150]
     rows += [(500 + i, f"{rows[i][1][:60]} {passage} {rows[i + 1][1][:60]}") for i in range(12)] + [(900, "ab" * 400), (901, "x" * 350), (902, "é" * 99 + "x" * 200)]
-    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), hot).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_removed(rows)
+    first, second, third, fourth = (rows[i][1][:150] for i in (20, 21, 22, 23))
+    rows += [(700, first), (701, second), (705, second + third), (705, fourth + first), (705, second + third), (None, passage), (None, None), (None, passage + second), (703, ""), (704, None)]
+    rows += [(800 + i, "x" * (95 + i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert suffix_rows(suffixes.deduplicate(docs, True, blocks, bucket)) == brute_rows(spark, rows)
+
+
+@pytest.mark.parametrize("records", [1, 3])
+def test_suffix_dedup_over_arrow_batches(spark, records):
+    line = "".join(chr(97 + i * i * 7 % 26) + str(i) for i in range(90))
+    rows = [(i, line + " ends here" if i % 3 else "begins apart " + line) for i in range(9)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        assert suffix_rows(suffixes.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute_rows(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suffix_dedup_keeps_text_ids(spark):
+    got = {r.doc_id: r for r in suffixes.deduplicate(spark.createDataFrame([("b", "y" * 40 + "z" * 120), ("a", "z" * 120)], "doc_id string, text string")).collect()}
+    assert got["a"].n_removed == 119 and got["b"].kept == b"y" * 40 and got["b"].n_removed == 120
+
+
+def test_cover_meets_every_pair_of_strings():
+    assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.PERIOD))
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 48, 999, dtype=np.uint64))
+    assert (suffixes.unpacked(suffixes.packed(keys, 6), 6) == keys).all()
 
 
 def test_suffix_dedup_of_odd_rows(odd, none):
