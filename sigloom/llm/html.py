@@ -4,17 +4,24 @@ A page becomes a run of words and tags. Words score positive, tags negative;
 one linear scan finds the contiguous region with the highest sum. The weights
 are log-odds of a token lying inside the marked article, learned from pages
 that mark theirs (<article> or <main>), from a bounded sample of them
-(FIT_PAGES, by hash of the id). Elements that are never content by their name,
-role or class (menus, notices, adverts, forms, scripts, comments, ...) are cut
-before the scan and before the weights are learned, as whole subtrees.
+(FIT_PAGES, by hash of the id).
 
-Character references are decoded, white space inside a block becomes one space,
-and blocks are joined by an empty line.
+Subtrees that are never content by their element or role (menus, asides, forms,
+scripts, ...) are cut before the scan. A class or id is evidence only: each of
+its words has a weight, a prior (MARKS, CONTENT) plus log-odds learned from the
+same pages, and an element is cut where they sum to more than CUT. No subtree is
+cut that holds the page's main part (the first main or article, or else the
+first h1), nor one cut for its class that holds most of the page's words.
+
+Character references are decoded, white space of any kind inside a block (tabs,
+no-break and other Unicode spaces) becomes one space, and blocks are joined by
+an empty line.
 
 Edge cases: null or empty html and pages without words give empty text; a tag
-cut off by the page's end is dropped; an element that never closes is cut only
-up to the next article, main or h1; repeated pages give repeated rows; extra
-columns are ignored.
+cut off by the page's end is dropped; p, li, dt, dd, td, th, tr and option end
+at a sibling or with their parent; another element that never closes ends with
+its parent, or before the page's main part if it holds that; repeated pages give
+repeated rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,17 +45,25 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head title nav footer aside form button select textarea noscript template iframe object svg math canvas audio video menu dialog datalist script style".split())
-KEPT = frozenset("html body article main".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner sidebar side aside menu menus submenu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead topbar footer bottom cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus widget widgets toolbar pagination pager copyright legal "
     "disclaimer login search skip hidden".split()
 )
+CONTENT = frozenset("article articles post posts entry story content contents main body text page news hentry".split())
+#: Words before a name that only say whether a part is there.
+ABOUT = frozenset("has with no without is not enabled".split())
+#: Elements that a start tag of the second group ends.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+SCOPES = frozenset("ul ol dl table tbody thead tfoot select div section article main body blockquote form aside nav header footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note".split())
 #: Weights where no page marks its article.
 DEFAULT = {"word": 1.0, "linked": 0.3, "a": -0.5, "li": -0.5, "ul": -1.0, "p": -0.1, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "other": -0.5}
 
+#: Prior weights of a word of MARKS and of CONTENT in a class, the bound of a learned one, and the sum above which an element is cut.
+MARK, HOLD, LEARNED, CUT = 2.0, -3.0, 1.9, 1.5
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -76,31 +91,113 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    if name in KEPT:
-        return False
-    if name in NEVER or name == "header" and not inside:
-        return True
-    if not attributes or name in VOID:
-        return False
+def class_words(value: str) -> list[str]:
+    """Words of a class or id, without those that a word like `has` precedes."""
+    out: list[str] = []
+    for name in value.split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        out += [x for i, x in enumerate(parts) if x not in ABOUT and (i == 0 or parts[i - 1] not in ABOUT) and "enabled" not in parts]
+    return out
+
+
+def attributes_of(attributes: str) -> tuple[list[str], bool]:
+    """Words of class and id, and whether role or visibility says that the element is no content."""
+    named: list[str] = []
+    apart = False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in PARTS.findall(value)):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+        if key in ("class", "id"):
+            named += class_words(value)
+        elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+            apart = True
+        elif key == "style" and "display:none" in value.replace(" ", "").lower():
+            apart = True
+    return named, apart
+
+
+def class_weight(named: list[str], weights: dict[str, float]) -> float:
+    return sum((MARK if x in MARKS else HOLD if x in CONTENT else 0.0) + weights.get("." + x, 0.0) for x in dict.fromkeys(named))
+
+
+def element_ends(found: list[tuple[str, str, str]]) -> tuple[dict[int, int], set[int]]:
+    """For each start tag, the index after its element; and the start tags whose own end tag is there."""
+    ends: dict[int, int] = {}
+    closed: set[int] = set()
+    stack: list[int] = []
+
+    def end_top(until: tuple[str, ...], i: int) -> None:
+        # Ends the nearest of these elements, unless the stack's scope ends first.
+        for k in range(len(stack) - 1, -1, -1):
+            name = found[stack[k]][1]
+            if name in until:
+                for j in stack[k:]:
+                    ends[j] = i
+                    closed.add(j)
+                del stack[k:]
+                return
+            if name in SCOPES:
+                return
+
+    open_names: dict[str, int] = {}
+    for i, (kind, name, _) in enumerate(found):
+        if kind == "text" or name in VOID:
+            continue
+        if kind == "open":
+            if name in ENDS:
+                end_top(ENDS[name], i)
+            elif name in BLOCKS:
+                end_top(("p",), i)
+            stack.append(i)
+            open_names[name] = open_names.get(name, 0) + 1
+        elif open_names.get(name):
+            for k in range(len(stack) - 1, -1, -1):
+                if found[stack[k]][1] == name:
+                    for j in stack[k:]:
+                        ends[j] = i
+                        if found[j][1] in ENDS or found[j][1] == "p":
+                            closed.add(j)
+                    ends[stack[k]] = i + 1
+                    closed.add(stack[k])
+                    del stack[k:]
+                    break
+            else:
+                open_names[name] = 0
+    for j in stack:
+        ends[j] = len(found)
+    return ends, closed
+
 
+def without_furniture(found: list[tuple[str, str, str]], weights: dict[str, float]) -> list[tuple[str, str, str]]:
+    """The tokens outside the subtrees that are no content; a bare block stands for each of these."""
+    ends, closed = element_ends(found)
+    words = [0]
+    for kind, name, _ in found:
+        words.append(words[-1] + (len(name.split()) if kind == "text" else 0))
+    opens = {name: i for i, (kind, name, _) in reversed(list(enumerate(found))) if kind == "open" and name in ("main", "article", "h1")}
+    core = min((opens[n] for n in ("main", "article") if n in opens), default=opens.get("h1", -1))
 
-def without_furniture(found: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    def cut_end(i: int, inside: int) -> int:
+        """Index after the subtree at i if it is cut, else i."""
+        name, attributes = found[i][1], found[i][2]
+        never = name in NEVER or name == "header" and not inside
+        named, apart = attributes_of(attributes) if attributes else ([], False)
+        if not (never or apart) and class_weight(named, weights) <= CUT or name in ("html", "body", "article", "main"):
+            return i
+        end = ends[i]
+        if i < core < end:
+            return i if i in closed else core
+        if not (never or apart) and 2 * (words[end] - words[i]) > seen:
+            return i
+        return end
+
+    # Words of the page outside what its elements and roles cut.
+    seen = sum(len(name.split()) for name in _texts(found, ends, core))
     kept, i, inside = [], 0, 0
     while i < len(found):
-        kind, name, attributes = found[i]
-        if kind == "open" and name not in VOID and is_furniture(name, attributes, inside > 0):
-            i = end_of(found, i)
+        kind, name, _ = found[i]
+        if kind == "open" and name not in VOID and (end := cut_end(i, inside)) > i:
             kept.append(("open", "div", ""))
+            i = end
             continue
         if name in ("article", "main") and kind != "text":
             inside += 1 if kind == "open" else -1
@@ -109,20 +206,16 @@ def without_furniture(found: list[tuple[str, str, str]]) -> list[tuple[str, str,
     return kept
 
 
-def end_of(found: list[tuple[str, str, str]], start: int) -> int:
-    """Index after the element that opens at start."""
-    name, depth, content = found[start][1], 0, None
-    for i in range(start, len(found)):
-        kind, other, _ = found[i]
-        if other == name and kind == "open":
-            depth += 1
-        elif other == name and kind == "close":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        elif content is None and kind == "open" and other in ("article", "main", "h1"):
-            content = i
-    return len(found) if content is None else content
+def _texts(found: list[tuple[str, str, str]], ends: dict[int, int], core: int) -> Iterator[str]:
+    i = 0
+    while i < len(found):
+        kind, name, _ = found[i]
+        if kind == "open" and name in NEVER and not i < core < ends.get(i, i):
+            i = max(i + 1, ends.get(i, i))
+            continue
+        if kind == "text":
+            yield name
+        i += 1
 
 
 def best_region(found: list[tuple[str, str, str]], weights: dict[str, float]) -> tuple[int, int]:
@@ -144,6 +237,16 @@ def best_region(found: list[tuple[str, str, str]], weights: dict[str, float]) ->
     return region
 
 
+def whole_article(found: list[tuple[str, str, str]], start: int, end: int) -> tuple[int, int]:
+    """The innermost article or main around the region, so that its short first and last blocks stay; else the region."""
+    ends, _ = element_ends(found)
+    for i in range(start if start < end else -1, -1, -1):
+        kind, name, _ = found[i]
+        if kind == "open" and name in ("article", "main") and ends[i] >= end:
+            return i, ends[i]
+    return start, end
+
+
 def blocks(found: list[tuple[str, str, str]]) -> list[str]:
     out, parts = [], []
     for kind, name, _ in [*found, ("open", "div", "")]:
@@ -159,17 +262,20 @@ def blocks(found: list[tuple[str, str, str]]) -> list[str]:
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    found = without_furniture(list(tokens(page or "")))
-    start, end = best_region(found, weights)
+    found = without_furniture(list(tokens(page or "")), weights)
+    start, end = whole_article(found, *best_region(found, weights))
     return "\n\n".join(blocks(found[start:end]))
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Log-odds of lying inside the marked article, words at least 0.1, tags at most -0.1."""
+    """Log-odds of lying inside the marked article: words at least 0.1, tags at most -0.1. Of the words of classes (under `.word`),
+    the log-odds of standing outside it, up to LEARNED either way, from the text that elements with them hold."""
+    outside, weights = class_odds(pages), dict(DEFAULT)
+    weights.update(outside)
     counts: dict[str, list[int]] = {}
     for page in pages:
         inside = links = 0
-        for kind, name, _ in without_furniture(list(tokens(page))):
+        for kind, name, _ in without_furniture(list(tokens(page)), weights):
             if kind == "text":
                 if n := len(name.split()):
                     counts.setdefault("linked" if links > 0 else "word", [0, 0])[inside > 0] += n
@@ -183,20 +289,39 @@ def learn(pages: list[str]) -> dict[str, float]:
             if name in BLOCKS or name in DEFAULT or name in VOID:
                 counts.setdefault(name, [0, 0])[inside > 0] += 1
     if not any(inner for _, inner in counts.values()):
-        return dict(DEFAULT)
-    weights = dict(DEFAULT)
+        return weights
     for name, (outer, inner) in counts.items():
         odds = math.log((inner + 1) / (outer + 1))
         weights[name] = min(2.0, max(0.1, odds)) if name in ("word", "linked") else max(-6.0, min(-0.1, odds))
     return weights
 
 
+def class_odds(pages: list[str]) -> dict[str, float]:
+    """Weights of the words of classes, by whether their elements lie outside the page's first article or main, and hold none."""
+    counts: dict[str, list[int]] = {}
+    for page in pages:
+        found = list(tokens(page))
+        core = next((i for i, (kind, name, _) in enumerate(found) if kind == "open" and name in ("article", "main")), None)
+        if core is None:
+            continue
+        ends, _ = element_ends(found)
+        for i, (kind, name, attributes) in enumerate(found):
+            if kind != "open" or not attributes or name in VOID:
+                continue
+            named, _ = attributes_of(attributes)
+            apart = not (i <= core < ends.get(i, i) or core < i < ends[core])
+            for word in set(named):
+                counts.setdefault("." + word, [0, 0])[apart] += 1
+    return {word: max(-LEARNED, min(LEARNED, 0.5 * math.log((apart + 1) / (within + 1)))) for word, (within, apart) in counts.items()}
+
+
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> dict[str, float]:
-    """Weights from at most `limit` pages that mark their article, the same ones on every run."""
-    marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]"))
-    # Ids alone are ranked; the pages themselves are fetched by the few that are chosen.
-    chosen = [r.page_id for r in marked.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect()]
-    return learn([r.html for r in marked.filter(F.col("page_id").isin(chosen)).select("html").limit(limit).toLocalIterator()])
+    """Weights from the pages of at most `limit` ids that mark their article, the same ones on every run."""
+    marked = pages.filter("page_id IS NOT NULL").filter(F.lower("html").rlike("<(article|main)[ >]"))
+    # Ids alone are ranked; the pages themselves are fetched by the few that are chosen, one page of each id.
+    chosen = [r.page_id for r in marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit).collect()]
+    few = pages.filter(F.col("page_id").isin(chosen)).filter(F.lower("html").rlike("<(article|main)[ >]"))
+    return learn([r.html for r in few.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").select("html").toLocalIterator()])
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

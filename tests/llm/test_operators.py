@@ -439,6 +439,69 @@ def test_articles_are_extracted(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_the_region_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        found = [("text", "w " * int(rng.integers(0, 4)), "") if rng.random() < 0.5 else (("open", "close")[rng.integers(2)], ("p", "li", "ul", "a")[rng.integers(4)], "") for _ in range(int(rng.integers(1, 14)))]
+
+        def total(tokens, weights=html.DEFAULT):
+            # Links opened before a region count in it, as in the scan.
+            return sum(each[i] for i in tokens)
+
+        each, links = [], 0
+        for kind, name, _ in found:
+            if kind == "text":
+                each.append(len(name.split()) * html.DEFAULT["linked" if links else "word"])
+            else:
+                each.append(html.DEFAULT.get(name, html.DEFAULT["other"]))
+                if name == "a":
+                    links = links + 1 if kind == "open" else max(0, links - 1)
+        best = max((total(range(a, b)) for a in range(len(found)) for b in range(a, len(found) + 1)), default=0)
+        start, end = html.best_region(found, html.DEFAULT)
+        assert total(range(start, end)) == pytest.approx(max(best, 0))
+
+
+ARTICLE = " ".join(f"word{i}" for i in range(200))
+
+
+@pytest.mark.parametrize(
+    "page, rest",
+    [
+        ('<body><nav><a>m</a></nav><div class="content has-sidebar"><p>{}</p></div><footer>f</footer>', ""),
+        ('<div class="page with-header"><header>H</header><article><p>{}</p><div class="share-buttons">share me</div></article></div>', ""),
+        ('<div class="post social-enabled"><main><p>{}</p></main></div><div class="sidebar">side stuff</div>', ""),
+        ('<section class="legal-news"><p>{}</p></section><div class="cookie-notice">we use cookies</div>', ""),
+        ('<div class="search-result-article"><p>{}</p></div>', ""),
+        ('<article><h1>T</h1><p>{}</p></article><section class="comments"><article class="comment"><p>nice post mate</p></article></section>', "T\n\n"),
+        ('<form id="aspnetForm"><div><article><p>{}</p></article></div></form>', ""),
+        ('<article><p class="notice">note here<p>{}</p><ul><li class="share">tweet<li>one</ul></article>', "\n\none"),
+        ("<nav><ul><li>menu<div><article><p>{}</p></article></div>", ""),
+    ],
+)
+def test_classes_alone_cut_no_article(page, rest):
+    assert html.extract(page.format(ARTICLE), html.DEFAULT).replace(ARTICLE, "") == rest
+
+
+def test_weights_are_learned_from_marked_pages(spark):
+    page = '<div class="zoo">{0} outside</div><ul><li><a>menu</a><li><a>more</a></ul><article class="tale"><p>{1}</p><blockquote>{1}</blockquote></article>'
+    pages = [page.format(f"promo {i}", ARTICLE) for i in range(30)]
+    weights = html.learn(pages)
+    assert weights[".zoo"] > html.CUT > 0 > weights[".tale"] and weights["blockquote"] > weights["li"] and weights["word"] > 1 and weights["linked"] == 0.1
+    # On a page that marks nothing, what was learned of the class decides.
+    bare = f'<div class="zoo">one two three</div><div class="tale"><p>{ARTICLE}</p></div>'
+    assert html.extract(bare, weights) == ARTICLE != html.extract(bare, html.DEFAULT)
+    rows = [(i, "u", p) for i, p in enumerate(pages)] + [(None, "u", "<article>x</article>"), (0, "u", "<article>y</article>"), (77, "u", None)]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert html.fit(docs, 20) == html.fit(docs.repartition(3), 20) and html.fit(docs, 500)["word"] > 1
+    assert html.learn([]) == html.DEFAULT == html.fit(docs.limit(0))
+
+
+def test_long_pages_stay_whole():
+    long = "\n".join(f"<p>{ARTICLE} {i}</p>" for i in range(3000))
+    text = html.extract(f"<nav>menu</nav><article>{long}</article><footer>f</footer>", html.DEFAULT)
+    assert text.count("word199") == 3000 and text.endswith(" 2999")
+
+
 # Pipeline
 
 
