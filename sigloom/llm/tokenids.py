@@ -34,8 +34,8 @@ from sigloom.llm import eliasfano, ordered, store
 END_ID = 2
 #: Ids in a segment, about.
 SEGMENT_IDS = 1 << 20
-#: Pieces whose ids a worker keeps; it starts afresh beyond.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps, and characters of the longest it keeps; it starts afresh beyond.
+KEPT_PIECES, KEPT_LENGTH = 400_000, 48
 #: Fixed value: the splitting pattern of byte-level BPE, in the dialect of `re`.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?(?:(?=\d)\w)+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -69,9 +69,10 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         ids = self.pack([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
-        if len(self.kept) >= KEPT_PIECES:
-            self.kept.clear()
-        self.kept[text] = ids
+        if len(text) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT_PIECES:
+                self.kept.clear()
+            self.kept[text] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -83,7 +84,7 @@ class Encoder:
     @staticmethod
     def splits_alike(text: str) -> bool:
         """Whether `re` and the library agree on the classes of all characters: \\w lacks no letter and adds no mark below U+0300."""
-        return text.isascii() or max(text) < "̀" and not ODD.search(text)
+        return not ODD.search(text) and (text.isascii() or max(text) < "\u0300")
 
 
 #: Characters below U+0300 that the two dialects class differently (number forms and C0 separators).
