@@ -4,7 +4,8 @@ The nested field paths of a layout, in code-point order, are hashed; the hash
 picks a mapping from layouts() that turns prompt/response, instruction, message
 array or turn-row layouts into canonical rows (conv_id, turn, role, text). For
 JSON records the fingerprint is taken per record, from the record's own paths.
-An unknown fingerprint is an error that names the paths.
+Fields that no layout has are left out of the fingerprint; an unknown
+fingerprint is an error that names the paths.
 
 The template marks turns as <|turn|>role<|text|>text<|end|>. Inside texts and
 roles the characters \\ < [ become \\s \\l \\b, so neither this template's
@@ -13,8 +14,11 @@ text, and unescape() restores every text exactly.
 
 Edge cases: null text and null role are empty; null turns sort first; turns
 that repeat a number are ordered by role and text; a null conv_id is a
-conversation of its own; extra columns are ignored by the turn-row layout
-(its fingerprint is of the columns it needs); an empty table gives no rows.
+conversation of its own; rows that repeat are turns each; an empty message
+array gives no turns; extra columns are ignored, and where the fields of several
+layouts stand side by side the first in the table counts; an empty table gives
+no rows. A conversation is one string, so its formatted text has to stay below
+2 GB, the limit of a string in Spark.
 """
 
 from __future__ import annotations
@@ -55,9 +59,14 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _turn(role: str | Column, text: str) -> Column:
-    role = F.lit(role) if isinstance(role, str) else role
-    return F.struct(role.cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+def _said(role: Column, text: Column, turn: Column | None = None) -> Column:
+    """One turn; `own` says whether the layout numbers it."""
+    number = F.lit(None) if turn is None else turn
+    return F.struct(number.cast("long").alias("turn"), F.lit(turn is not None).alias("own"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+
+def _turn(role: str, text: str) -> Column:
+    return _said(F.lit(role), F.col(text))
 
 
 def _messages(array: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
@@ -65,14 +74,22 @@ def _messages(array: str, role: str, text: str, names: dict[str, str] | None = N
         said = m[role]
         for theirs, ours in (names or {}).items():
             said = F.when(said == theirs, ours).otherwise(said)
-        return F.struct(said.cast("string").alias("role"), m[text].cast("string").alias("text"))
+        return _said(said, m[text])
 
     return F.transform(F.col(array), one)
 
 
 def _instruction(extra: str | None) -> Column:
     asked = F.col("instruction") if extra is None else F.concat_ws("\n", F.col("instruction"), F.nullif(F.col(extra), F.lit("")))
-    return F.array(F.struct(F.lit("user").alias("role"), asked.cast("string").alias("text")), _turn("assistant", "output"))
+    return F.array(_said(F.lit("user"), asked), _turn("assistant", "output"))
+
+
+#: Type of a mapping's result.
+TURNS = "array<struct<turn:bigint,own:boolean,role:string,text:string>>"
+
+
+def _no_turns() -> Column:
+    return F.array().cast(TURNS)
 
 
 #: Roles of the other message layout.
@@ -82,29 +99,47 @@ FOREIGN_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 def layouts() -> dict[tuple[str, ...], callable]:
     """Mappings by their sorted paths (without the id); called late, since columns need a session."""
     return {
+        ("role", "text", "turn"): lambda: F.array(_said(F.col("role"), F.col("text"), F.col("turn"))),
         ("prompt", "response"): lambda: F.array(_turn("user", "prompt"), _turn("assistant", "response")),
         ("completion", "prompt"): lambda: F.array(_turn("user", "prompt"), _turn("assistant", "completion")),
         ("instruction", "output"): lambda: _instruction(None),
         ("input", "instruction", "output"): lambda: _instruction("input"),
         ("messages[].content", "messages[].role"): lambda: _messages("messages", "role", "content"),
         ("conversations[].from", "conversations[].value"): lambda: _messages("conversations", "from", "value", FOREIGN_ROLES),
+        # Arrays without elements have no fields inside.
+        ("messages[]",): _no_turns,
+        ("conversations[]",): _no_turns,
     }
 
 
-#: Layout whose rows are single turns.
-TURN_ROWS = ("role", "text", "turn")
-
-
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) rows of any known layout, chosen by the fingerprint of the schema."""
-    paths = [p for p in field_paths(df.schema) if p != conv_id]
-    if set(TURN_ROWS) <= set(paths):
-        return df.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    chosen = {fingerprint(p): m for p, m in layouts().items()}.get(fingerprint(paths))
-    if chosen is None:
+    paths = known_paths(p for p in field_paths(df.schema) if p != conv_id)
+    mapping = choose(paths)
+    if mapping is None:
         raise ValueError(f"no mapping for the layout {paths}")
-    turns = df.select(F.col(conv_id).alias("conv_id"), F.posexplode(chosen()).alias("turn", "m"))
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    turns = df.select(F.col(f"`{conv_id}`").alias("conv_id"), F.explode(numbered(mapping())).alias("m"))
+    return turns.select("conv_id", "m.turn", "m.role", "m.text")
+
+
+def known_paths(paths) -> list[str]:
+    """The paths that some layout has; other fields say nothing of the layout."""
+    known = {p for layout in layouts() for p in layout}
+    return sorted(known.intersection(paths))
+
+
+def choose(paths: list[str]):
+    """The mapping of the layout whose fingerprint the paths have. Where fields of several layouts stand side by side, the
+    first layout in the table that they hold whole."""
+    prints = {fingerprint(layout): mapping for layout, mapping in layouts().items()}
+    if (chosen := prints.get(fingerprint(paths))) is not None:
+        return chosen
+    return next((mapping for layout, mapping in layouts().items() if fingerprint(set(layout).intersection(paths)) == fingerprint(layout)), None)
+
+
+def numbered(turns: Column) -> Column:
+    """Turns with their numbers: their own where the layout has them, else their places."""
+    return F.transform(turns, lambda m, i: F.struct(F.coalesce(m["turn"], F.when(~m["own"], i)).cast("long").alias("turn"), m["role"].alias("role"), m["text"].alias("text")))
 
 
 def fingerprint(paths) -> str:
@@ -126,24 +161,28 @@ def _inside(name: str, field: Column) -> Column:
 
 
 def canonical_json(df: DataFrame, json: str = "record", conv_id: str = "conv_id") -> DataFrame:
-    """As canonical_turns(), for JSON records of mixed layouts: each record's own field paths are hashed."""
-    arrays = [p.split("[]")[0] for paths in layouts() for p in paths if "[]" in p]
+    """As canonical_turns(), for JSON records of mixed layouts: each record's own field paths are hashed, those of all
+    elements of its arrays included. A record whose fields are no layout's, or that is no JSON object, is an error."""
+    arrays = dict.fromkeys(p.split("[]")[0] for paths in layouts() for p in paths if "[]" in p)
     keys = F.json_object_keys(F.col(json))
 
     def nested(key: Column) -> Column:
         out = F.array(key)
-        for name in dict.fromkeys(arrays):
-            fields = F.json_object_keys(F.get_json_object(F.col(json), f"$.{name}[0]"))
-            out = F.when(key == name, F.transform(F.coalesce(fields, F.array().cast("array<string>")), partial(_inside, name))).otherwise(out)
+        for name in arrays:
+            elements = F.from_json(F.get_json_object(F.col(json), f"$.{name}"), "array<string>")
+            fields = F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>"))))
+            inside = F.transform(F.array_distinct(fields), partial(_inside, name))
+            out = F.when(key == name, F.when(F.size(inside) > 0, inside).otherwise(F.array(F.lit(name + "[]")))).otherwise(out)
         return out
 
-    prints = path_hash(F.flatten(F.transform(keys, nested)))
-    read = df.select(F.col(conv_id).alias("_id"), prints.alias("_print"), F.col(json).alias("_json"), F.from_json(F.col(json), RECORD_SCHEMA).alias("_r")).select("_id", "_print", "_json", "_r.*")
-    mapped = F.raise_error(F.concat(F.lit("no mapping for the layout of "), F.coalesce("_json", F.lit("null")))).cast("array<struct<role:string,text:string>>")
+    known = F.lit(sorted({p for layout in layouts() for p in layout}))
+    prints = path_hash(F.array_intersect(F.flatten(F.transform(keys, nested)), known))
+    read = df.select(F.col(f"`{conv_id}`").alias("_id"), prints.alias("_print"), F.col(f"`{json}`").alias("_json"), F.from_json(F.col(f"`{json}`"), RECORD_SCHEMA).alias("_r")).select("_id", "_print", "_json", "_r.*")
+    mapped = F.raise_error(F.concat(F.lit("no mapping for the layout of "), F.coalesce("_json", F.lit("null")))).cast(TURNS)
     for paths, mapping in layouts().items():
         mapped = F.when(F.col("_print") == fingerprint(paths), mapping()).otherwise(mapped)
-    turns = read.select(F.col("_id").alias("conv_id"), F.posexplode(mapped).alias("turn", "m"))
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    turns = read.select(F.col("_id").alias("conv_id"), F.explode(numbered(mapped)).alias("m"))
+    return turns.select("conv_id", "m.turn", "m.role", "m.text")
 
 
 def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:

@@ -348,6 +348,19 @@ def test_pieces_encode_as_the_library_does():
         assert e.encode(text) == e.pack(e.tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_random_texts_encode_as_the_library_does():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        e = tokenids.Encoder(f.read())
+    rng = np.random.default_rng(11)
+    odd, plain = [chr(c) for c in range(0x300)], list("ab Z9_'\n\t.\x1c\x1d\x1e\x1f s")
+    texts = [t.format(c) for c in odd for t in ("a{}b", " {}1", "{}'s", "\n{} \n", "_{}_")]
+    texts += ["".join(rng.choice(plain if i % 2 else odd, int(rng.integers(1, 12)))) for i in range(6000)]
+    wrong = [t for t in texts if e.encode(t) != e.pack(e.tokenizer.encode(t, add_special_tokens=False).ids)]
+    assert not wrong
+
+
 def test_elias_fano_selects_every_value():
     rng = np.random.default_rng(2)
     for values in ([0], [0, 0, 7, 7, 900], np.cumsum(rng.integers(0, 3000, 500)), np.zeros(130, int)):
@@ -397,6 +410,26 @@ def test_layouts_are_told_by_their_paths(spark):
     assert [(r.conv_id, r.role, r.text) for r in got] == [(1, "user", "p"), (1, "assistant", "r"), (2, "user", "c"), (2, "assistant", "d"), (3, "user", "i"), (3, "assistant", "o")]
 
 
+def test_records_are_told_by_all_their_elements(spark):
+    def read(*records):
+        return [(r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_json(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string")).orderBy("conv_id", "turn").collect()]
+
+    mixed = '{"messages":[{"role":"user","content":"c"},{"role":"tool","content":"d","name":"n"},{"role":"assistant"}]}'
+    assert read(mixed, '{"messages":[]}', '{"conversations":[]}', '{"turn":7,"role":"user","text":"t","other":1}') == [(0, 0, "user", "c"), (0, 1, "tool", "d"), (0, 2, "assistant", None), (3, 7, "user", "t")]
+    for bad in ('{"messages":[{"said":"x"}],"prompt":"p"}', '{"a":1}', "no json"):
+        with pytest.raises(Exception, match="no mapping"):
+            read(bad)
+
+
+def test_turn_rows_with_clashing_columns_and_repeats(spark):
+    rows = [(1, t, "user", f"text {t}", "p", "m", 3, "h") for t in range(3000)] + [(2, 0, "user", "same", "p", "m", 3, "h")] * 3 + [(None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, prompt string, m string, nth int, head string")
+    assert chat.choose(chat.known_paths(["role", "text", "turn"])) is not None and chat.choose(["role", "turn"]) is None
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(chat.canonical_turns(docs))).collect()}
+    assert {i: r.n_turns for i, r in got.items()} == {1: 3000, 2: 3, None: 1}
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"user\ntext {t}\n" for t in range(3000)).encode()).hexdigest()
+
+
 # 9
 
 
