@@ -8,15 +8,20 @@ overlapping diagonal bands, bands below the bound are dropped, and the rest
 are aligned inside their band, which decides.
 
 The benchmark is the query set. It is taken in blocks of BLOCK_BYTES, and each
-block goes to all tasks; every text is scanned whole.
-
-Edge cases: null and empty texts hold nothing; items below Q bytes after
-normalisation are never found; equal items are each reported; rows that repeat
-are each reported; extra columns are ignored; empty tables give an empty result.
+block goes to all tasks; every text is scanned whole. The corpus is read once:
+a task takes each batch of texts through the blocks in turn, holding one index.
+An excerpt of an item is sure to be found from WINDOW + STEP - 1 bytes on.
+
+Edge cases: null and empty texts and items hold nothing and are never found;
+items below Q bytes after normalisation are found where they stand exactly, as
+whole words; equal items are each reported; an item met at several places is
+reported once, with its longest stretch; rows that repeat are each reported; ids
+keep their types; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigloom.llm import words
 
@@ -34,7 +40,7 @@ EDITS = 0.10
 #: Window length and step, in bytes.
 WINDOW, STEP = 128, 64
 #: Item bytes that are sent to the tasks at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Shared grams expanded at once, and candidates aligned at once.
 EXPANDED, ALIGNED = 1 << 21, 256
 _BITS = 22
@@ -64,36 +70,39 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    short: list[tuple[int, re.Pattern]]
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]]) -> Index | None:
-        owner, pieces = [], []
-        for number, (_, text) in enumerate(items):
+    def build(items: list[str | None]) -> Index:
+        owner, pieces, short = [], [], []
+        for number, text in enumerate(items):
             raw = normal(text)
             if len(raw) < Q:
+                if raw:
+                    short.append((number, re.compile(rb"(?<![0-9a-z\x80-\xff])%b(?![0-9a-z\x80-\xff])" % re.escape(raw))))
                 continue
             starts = range(0, max(1, len(raw) - WINDOW + 1), STEP) if len(raw) > WINDOW else [0]
             cuts = dict.fromkeys(raw[s : s + WINDOW] for s in [*starts, max(0, len(raw) - WINDOW)])
             pieces += cuts
             owner += [number] * len(cuts)
-        if not pieces:
-            return None
-        size = np.array([len(p) for p in pieces])
+        size = np.array([len(p) for p in pieces], int)
         edits = np.minimum((size * EDITS).astype(int), np.maximum(0, (size - Q) // Q))
         each = [grams(np.frombuffer(p, np.uint8)) for p in pieces]
-        window = np.repeat(np.arange(len(pieces)), [len(g) for g in each])
-        place = np.concatenate([np.arange(len(g)) for g in each])
-        all_grams = np.concatenate(each)
+        window = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(g) for g in each])
+        place = np.concatenate([np.zeros(0, np.int16), *(np.arange(len(g), dtype=np.int16) for g in each)])
+        all_grams = np.concatenate([np.zeros(0, np.uint64), *each])
         order = np.argsort(all_grams, kind="stable")
         gram, begin = np.unique(all_grams[order], return_index=True)
         seen = np.zeros(1 << _BITS, bool)
         seen[gram * _MULTIPLIER >> np.uint64(64 - _BITS)] = True
-        return Index(np.array(owner), pieces, edits, size - Q + 1 - Q * edits, gram, np.append(begin, len(order)), window[order], place[order], seen)
+        return Index(np.array(owner, int), pieces, edits, size - Q + 1 - Q * edits, gram, np.append(begin, len(order)), window[order], place[order], seen, short)
 
 
 def bands(index: Index, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, band) with enough shared grams. Band b of a window holds the diagonals from b (e + 1) to (b + 2) (e + 1) - 1."""
     found = grams(buf)
+    if not len(index.gram):
+        return np.zeros(0, int), np.zeros(0, int)
     hits = np.flatnonzero(index.seen[found * _MULTIPLIER >> np.uint64(64 - _BITS)])
     at = np.searchsorted(index.gram, found[hits])
     real = (at < len(index.gram)) & (index.gram[np.minimum(at, len(index.gram) - 1)] == found[hits])
@@ -108,7 +117,7 @@ def bands(index: Index, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(h):
             continue
         which = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(index.begin[a], m)
-        window = index.window[which]
+        window = index.window[which].astype(np.int64)
         # Diagonals from -WINDOW on; shifted so that bands are not negative.
         band = (np.repeat(h, m) - index.place[which] + WINDOW) // (index.edits[window] + 1)
         key, n = np.unique((window << 40) + band, return_counts=True)
@@ -159,11 +168,16 @@ def align(pieces: list[bytes], stretches: list[bytes], width: int) -> tuple[np.n
 
 
 def leaks(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, begin, end) of the items found in each text: fewest edits, and the stretch all its windows cover."""
+    """(text, item, edits, begin, end) of the items found in each text: the longest stretch that its windows cover without a gap, the fewest edits there."""
     ends = np.cumsum([len(t) + 1 for t in texts])
     joined = b"\n".join(texts) + b"\n"
     window, band = bands(index, np.frombuffer(joined, np.uint8))
-    found: dict[tuple[int, int], list[int]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for item, pattern in index.short:
+        for m in pattern.finditer(joined):
+            doc = int(np.searchsorted(ends, m.start(), "right"))
+            start = 0 if doc == 0 else int(ends[doc - 1])
+            found.setdefault((doc, item), []).append((m.start() - start, m.end() - start, 0))
     order = np.argsort(index.edits[window], kind="stable")
     window, band = window[order], band[order]
     for at in range(0, len(window), ALIGNED):
@@ -190,68 +204,87 @@ def leaks(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int, in
         for job, cost, begin, stop in zip(jobs, edits.tolist(), begins.tolist(), stops.tolist()):
             piece, doc, low, start, _, most = job
             if cost <= most:
-                spot = [cost, low + begin - start, low + stop - start]
-                old = found.setdefault((doc, int(index.item[piece])), spot)
-                found[doc, int(index.item[piece])] = [min(old[0], spot[0]), min(old[1], spot[1]), max(old[2], spot[2])]
-    return [(doc, item, *spot) for (doc, item), spot in sorted(found.items())]
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about BLOCK_BYTES."""
-    part, held = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        part.append((row.item_id, row.text))
+                found.setdefault((doc, int(index.item[piece])), []).append((low + begin - start, low + stop - start, cost))
+    return [(doc, item, *longest(spots)) for (doc, item), spots in sorted(found.items())]
+
+
+def longest(spots: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(edits, begin, end) of the longest stretch, the first such, that spots (begin, end, edits) cover without a gap."""
+    best = now = None
+    for begin, end, edits in sorted(spots):
+        if now is None or begin > now[2]:
+            now = [edits, begin, end]
+        else:
+            now = [min(now[0], edits), now[1], max(now[2], end)]
+        if best is None or now[2] - now[1] > best[2] - best[1]:
+            best = now
+    return tuple(best)
+
+
+def blocks(benchmark: DataFrame) -> list:
+    """The items in blocks of about BLOCK_BYTES, each as a broadcast of (ids, texts). The benchmark passes the driver block by block."""
+    out, ids, texts, held = [], [], [], 0
+    context = benchmark.sparkSession.sparkContext
+    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        ids.append(row.item_id)
+        texts.append(row.text)
         held += len(row.text or "")
         if held >= BLOCK_BYTES:
-            yield part
-            part, held = [], 0
-    yield part
+            out.append(context.broadcast((ids, texts)))
+            ids, texts, held = [], [], 0
+    return [*out, context.broadcast((ids, texts))] if ids else out
+
+
+_OPEN: dict[int, tuple[list, Index]] = {}
+
+
+def opened(shipped) -> tuple[list, Index]:
+    """Ids and index of a block. A worker holds those of one block, and of its broadcasts none."""
+    if shipped not in _OPEN:
+        _OPEN.clear()
+        ids, texts = shipped.value
+        shipped._value = None
+        _OPEN[shipped] = ids, Index.build(texts)
+    return _OPEN[shipped]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, begin, end, h): a row for each item that a document holds; places in normalised UTF-8 bytes, h xxhash64 of the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    out = None
-    for items in blocks(benchmark):
-        found = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast((Index.build(items), [i for i, _ in items]))), "doc_id bigint, item_id bigint, edits int, begin bigint, end bigint, h bigint")
-        out = found if out is None else out.union(found)
-    return out
-
+    shipped = blocks(benchmark)
+    item_kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
-def _scan(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids = shipped.value
         for batch in batches:
-            if index is None:
-                continue
-            doc_ids, hashes, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-            for part in words.chunks([t or "" for t in batch.column(1).to_pylist()]):
-                found = leaks(index, [normal(t) for t in part])
-                if found:
-                    doc, item, edits, begin, end = zip(*found)
-                    columns = [[doc_ids[at + d] for d in doc], [ids[i] for i in item], edits, begin, end, [hashes[at + d] for d in doc]]
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "edits", "begin", "end", "h"])
-                at += len(part)
-
-    return run
+            parts = list(words.chunks([t or "" for t in batch.column(1).to_pylist()]))
+            for block in shipped:
+                ids, index = opened(block)
+                at = 0
+                for part in parts:
+                    found = leaks(index, [normal(t) for t in part])
+                    if found:
+                        doc, item, edits, begin, end = zip(*found)
+                        rows = pa.array([at + d for d in doc])
+                        columns = [batch.column(0).take(rows), pa.array([ids[i] for i in item], item_type), pa.array(edits, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), batch.column(2).take(rows)]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "begin", "end", "h"])
+                    at += len(part)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, edits int, begin bigint, end bigint, h bigint")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns. Several blocks of items are scanned one after another."""
-    at = docs.columns.index("text")
-    for items in blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(Index.build(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                first = 0
-                if shipped.value is not None:
-                    for part in words.chunks([t or "" for t in batch.column(at).to_pylist()]):
-                        keep[[first + x[0] for x in leaks(shipped.value, [normal(t) for t in part])]] = False
-                        first += len(part)
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The documents that hold no item, with all their columns."""
+    shipped, column = blocks(benchmark), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            parts = list(words.chunks([t or "" for t in batch.column(column).to_pylist()]))
+            for block in shipped:
+                at = 0
+                for part in parts:
+                    keep[[at + x[0] for x in leaks(opened(block)[1], [normal(t) for t in part])]] = False
+                    at += len(part)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -452,7 +452,23 @@ def test_leaks_are_found_and_clean_texts_left(spark, small, odd, none):
     assert decontamination.find_leaks(odd, bench).count() == 0 and decontamination.keep_clean(odd, bench.limit(0)).count() == odd.count()
     assert decontamination.find_leaks(none, bench).count() == 0
     own = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, LONG[:400])], "item_id bigint, text string")
-    assert {r.doc_id for r in decontamination.find_leaks(odd, own).collect()} == {4, 8}
+    assert {r.doc_id for r in decontamination.find_leaks(odd, own).collect()} == {4, 8, 9}
+
+
+def test_short_items_and_places_of_leaks(spark, monkeypatch):
+    long = " ".join(f"tok{i}" for i in range(40))
+    items = [("five", "a-b+c"), ("seven", "seven77"), ("eight", "eight888"), ("long", long), ("none", None), ("empty", " ")]
+    docs = [("d1", f"x a-b+c y seven77, eight888."), ("d2", "xa-b+c seven777 eight8889"), ("d3", f"{long} and then {long} {long[:90]}"), (None, "SEVEN77")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    table = spark.createDataFrame(docs, "doc_id string, text string")
+    want = {("d1", "five"), ("d1", "seven"), ("d1", "eight"), ("d2", "eight"), ("d3", "long"), (None, "seven")}
+    for size in (1, 60, 2 << 20):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(table, bench).collect()}
+        assert set(got) == want
+        at = got["d3", "long"]
+        assert (at.edits, at.end - at.begin) == (0, len(long)) and decontamination.normal(docs[2][1])[at.begin : at.end].decode() == long
+        assert decontamination.keep_clean(table, bench).count() == 0
 
 
 # 10
