@@ -14,8 +14,9 @@ MOST_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the least node of its component.
 
-    Each round is written to the shared folder. Nodes with many edges are met by
-    partial aggregation and by joins that Spark may split.
+    Each round is written to the shared folder. The least neighbours come from partial
+    aggregation and are written before they meet the edges again, so the edges of a node
+    with many reach that join by an exchange of their own, which AQE splits.
     """
     edges = store.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
@@ -36,10 +37,12 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = store.written(least, "least").hint("shuffle_merge")
     return both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    inner = edges.join(least, edges["a"] == least["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    edges = store.written(edges, "edges")
+    least = store.written(edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "least")
+    inner = edges.join(least.hint("shuffle_merge"), edges["a"] == least["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return inner.union(least.select("u", "m")).filter("a <> b").distinct()

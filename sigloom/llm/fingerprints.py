@@ -7,7 +7,7 @@ with fewer than K shingles is held exactly.
 
 Edge cases: null text is empty; texts without words have an empty sketch, and
 two such resemble each other fully; rows that repeat give repeated rows, each
-next to the other in order; extra columns are ignored; an empty table gives an
+next to the other in order; ids must be integers; extra columns are ignored; an empty table gives an
 empty result.
 """
 

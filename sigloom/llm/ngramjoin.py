@@ -7,17 +7,19 @@ reaches the threshold falls below TOLERANCE: with a uniform prior and m of n
 values equal, that is P(Bin(n + 1, t) <= m). What survives is joined into
 groups, and every pair of a group is verified on the exact shingle sets.
 
-Large buckets and groups are dealt in blocks of about BLOCK members, every two
-blocks meeting in one task, so no task holds more than two blocks and no pair
-leaves its task: a task returns link counts and a spanning forest. The result
-has one row for each document, never the pairs of a group.
+Large buckets and groups are dealt in blocks of about BLOCK members, or of
+SHINGLES shingles if that is less, every two blocks meeting in one task, so no
+task holds more than two blocks and no pair leaves its task: a task returns link
+counts and a spanning forest. The result has one row for each document, never the
+pairs of a group. A member of a group of b blocks is moved b times; groups of up
+to BLOCK members, once.
 
 A pair at the threshold is missed by all bands with probability 3e-6, and by
 the pruning with less than TOLERANCE a slice; both shrink fast above it.
 
 Edge cases: null text is empty; texts without words are of one class only with
-equal texts; null ids sort first; rows that repeat are copies of each other;
-extra columns are ignored; an empty table gives an empty result.
+equal texts; null ids sort first; ids of any type that can be ordered are kept
+as they are; rows that repeat are copies of each other; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-4
 SLICE = 32
-BLOCK = 256
+BLOCK, SHINGLES = 1024, 1 << 21
 #: Pairs, and cells of a membership matrix, that a task handles at once.
 PAIRS, CELLS = 1 << 18, 1 << 24
 
@@ -109,14 +111,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
                 at += len(part)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, class string, n int, signature binary, bands array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h bigint, class string, n int, signature binary, bands array<bigint>")
 
 
-def in_pairs_of_blocks(rows: DataFrame, key: str, size: str, member: Column, block: int = BLOCK) -> DataFrame:
+def in_pairs_of_blocks(rows: DataFrame, key: str, blocks: Column, member: Column) -> DataFrame:
     """rows, each once for every two blocks of its group that it has a part in, with `_lo`, `_hi` and its own `_b`; dealt and sorted by them."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    rows = rows.withColumn("_nb", blocks).withColumn("_b", F.pmod(F.xxhash64(F.lit(3), member), F.col("_nb")).cast("int"))
+    rows = rows.withColumn("_nb", F.greatest(blocks.cast("int"), F.lit(1))).withColumn("_b", F.pmod(F.xxhash64(F.lit(3), member), F.col("_nb")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     rows = rows.withColumn("_lo", F.least("_b", "_o")).withColumn("_hi", F.greatest("_b", "_o")).drop("_o")
     return rows.repartition(key, "_lo", "_hi").sortWithinPartitions(key, "_lo", "_hi")
@@ -182,11 +183,12 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float, block: in
     """Forest edges (a, b) between classes that the pruning leaves."""
     least = least_matches(threshold, tolerance)
     banded = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    # Written, so that the members of a large bucket come by an exchange of their own, which AQE splits.
+    shared = store.written(banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     # All of these grow with the corpus, so the joins have one plan at every size.
     members = banded.join(shared.hint("shuffle_merge"), "bucket")
     rows = members.join(classes.select("class", "signature", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("short")).hint("shuffle_merge"), "class")
-    rows = in_pairs_of_blocks(rows, "bucket", "members", F.col("class"), block)
+    rows = in_pairs_of_blocks(rows, "bucket", F.ceil(F.col("members") / block), F.col("class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
@@ -248,6 +250,8 @@ def likeness(sets: list[np.ndarray]) -> np.ndarray:
     keep = often[column]
     rows, columns = member[order][keep], place[column[keep]]
     common = np.zeros((len(sets), len(sets)), np.float32)
+    if not often.any():
+        return common
     step = max(1, CELLS // len(sets))
     total = int(often.sum())
     for at in range(0, total, step):
@@ -269,8 +273,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     classes = signed.groupBy("class").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h")).alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = store.written(classes, "classes")
     grouped = components.components(candidates(classes, threshold, tolerance, block))
-    grouped = store.written(grouped.join(classes.select(F.col("class").alias("node"), "copies", "first"), "node"), "groups")
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("members"))
+    grouped = store.written(grouped.join(classes.select(F.col("class").alias("node"), "copies", "first", "n").hint("shuffle_merge"), "node"), "groups")
+    sizes = store.written(grouped.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight")), "group-sizes")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,12 +283,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
                 sets = words.shingle_sets([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[1:]], ["shingles", *part.schema.names[1:]])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    met = texts.join(grouped.hint("shuffle_merge"), texts["_id"].eqNullSafe(F.col("first.doc_id")) & (texts["_h"] == F.col("first.h")))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    met = texts.join(grouped.drop("n").hint("shuffle_merge"), texts["_id"].eqNullSafe(F.col("first.doc_id")) & (texts["_h"] == F.col("first.h")))
     # Rows that repeat give one set; they lie in one partition already.
     met = met.dropDuplicates(["_id", "_h", "node"])
     met = met.select("text", "node", "root", "copies").mapInArrow(shingle, "shingles binary, node string, root string, copies bigint")
-    rows = in_pairs_of_blocks(met.join(sizes, "root"), "root", "members", F.col("node"), block)
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("weight") / SHINGLES))
+    rows = in_pairs_of_blocks(met.join(sizes.hint("shuffle_merge"), "root"), "root", blocks, F.col("node"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, ...] = ([], [], [], [], [])
@@ -310,11 +315,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     edges = found.filter("NOT whole AND node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     if not edges.isEmpty():
         settled = settled.union(components.components(edges))
-    linked = counted.join(settled, "node", "left").select(F.col("node").alias("class"), F.coalesce("root", "node").alias("root"), "text_links", "links")
-    named = classes.select("class", "copies", "first").join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = named.join(least, "root").select("class", "copies", "least", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"))
-    return signed.select("doc_id", "h", "class").join(named, "class").select(
+    linked = counted.join(settled.hint("shuffle_merge"), "node", "left").select(F.col("node").alias("class"), F.coalesce("root", "node").alias("root"), "text_links", "links")
+    named = classes.select("class", "copies", "first").join(linked.hint("shuffle_merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    named = store.written(named, "classes-in-groups")
+    least = store.written(named.groupBy("root").agg(F.min("first").alias("least")), "group-firsts")
+    named = named.join(least.hint("shuffle_merge"), "root").select("class", "copies", "least", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"))
+    return signed.select("doc_id", "h", "class").join(named.hint("shuffle_merge"), "class").select(
         "doc_id",
         F.col("least.doc_id").alias("class_id"),
         (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
@@ -331,6 +337,6 @@ FOUND = ["node", "label", "text_links", "links", "whole"]
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all its columns."""
     kept = join(docs, threshold).filter("keep").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
     rows = rows.join(kept.hint("shuffle_merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
     return rows.dropDuplicates(["_doc", "_hash"]).select("_rec.*")

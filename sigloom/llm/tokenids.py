@@ -13,7 +13,7 @@ worker keeps the ids of pieces it has met. Where a text holds an added token,
 or the tokenizer is of another kind, the library encodes the text as a whole.
 
 Edge cases: null text is empty and has the end id alone; null ids come first;
-rows with equal ids are separate documents, ordered by their text; extra
+rows with equal ids are separate documents, ordered by their text; ids must be integers; extra
 columns are not stored; an empty table gives an empty one.
 """
 

@@ -152,7 +152,7 @@ def brute_links(rows):
     return {(a[0], b[0]) for i, a in enumerate(sets) for b in sets[:i] if (len(a[1] & b[1]) / len(a[1] | b[1]) >= 0.8 if a[1] | b[1] else a[2] == b[2])}
 
 
-@pytest.mark.parametrize("block", [2, 256])
+@pytest.mark.parametrize("block", [2, 1024])
 def test_ngram_join_next_to_brute_force(spark, small, block):
     rows = [r for r in text_of(small)]
     base = rows[1].text.split()
