@@ -54,7 +54,7 @@ PERIOD = 57
 COVER = np.array((0, 1, 3, 13, 32, 36, 43, 52))
 GRAM = LENGTH - PERIOD + 1
 #: Text bytes of a chunk, of a task that makes chunks, and hashed at once.
-CHUNK, PART, SLAB = 2 << 20, 64 << 20, 1 << 16
+CHUNK, PART, SLAB = 2 << 20, 32 << 20, 1 << 16
 #: Strings of one bucket, about.
 BUCKET = 1 << 20
 #: Blocks of suffix buckets, taken in turn; a power of two.
