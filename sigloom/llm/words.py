@@ -36,20 +36,26 @@ with np.errstate(over="ignore"):
     _PLACE = mixed(np.arange(11, 11 + WIDTH, dtype=np.uint64)) | _U(1)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin (one entry more than texts)."""
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+def hashes_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of lower-cased UTF-8 bytes, and where each begins and ends."""
     is_word = _WORD[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word)).view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word, [False])).view(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), starts, stops
     lens = stops - starts
     first = np.cumsum(lens) - lens
     place = (np.arange(lens.sum()) - np.repeat(first, lens)) & (_STEP - 1)
-    hashes = mixed(np.add.reduceat(_BYTE[buf[is_word]] * _POWER[place], first) + lens.astype(np.uint64))
+    return mixed(np.add.reduceat(_BYTE[buf[is_word]] * _POWER[place], first) + lens.astype(np.uint64)), starts, stops
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin (one entry more than texts)."""
+    raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    hashes, starts, _ = hashes_of(np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
+    if not len(hashes):
+        return hashes, np.zeros(len(texts) + 1, np.int64)
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends)))
 
 

@@ -59,7 +59,55 @@ def test_toxicity_model_survives_shipping():
     tables["top.t"][[5, 99, toxicity.SLOTS - 1]] = [1, 2, 3]
     model = toxicity.Model(tables, 0.25)
     other = toxicity.Packed.of(model).open()
-    assert all((other.tables[n] == t).all() for n, t in tables.items()) and other.score("any text") == 0.25
+    assert all((other.tables[n] == t).all() for n, t in tables.items()) and other.scores(["any text", ""]).tolist() == [0.25, 0.25]
+
+
+def test_letter_models_next_to_brute_force(spark):
+    counts = {"abba": (3, 1), "abc": (0, 5), "cab": (2, 2), "b": (1, 0), "abbacus": (1, 1), "zebra": (0, 2), "é": (4, 0)}
+    model = toxicity.Model(toxicity.tables(spark.createDataFrame([(w, *c) for w, c in counts.items()], "word string, toxic bigint, ordinary bigint")), 0.5)
+    top = {}
+    for word, c in counts.items():
+        p = f"^{word}$"
+        for i in range(2, len(p) + 1):
+            gram = p[max(0, i - toxicity.ORDER) : i]
+            top[gram] = [a + b for a, b in zip(top.get(gram, (0, 0)), c)]
+    ends = {g[k:] for g in top for k in range(len(g))}
+
+    def shared(g):
+        if not g:
+            return toxicity.FLOOR
+        follow = {e[1:]: sum(x[1:] == e[1:] for x in ends if len(x) > 1) for e in ends if len(e) > 1 and e[1:-1] == g[:-1] and len(e) == len(g) + 1}
+        below = shared(g[1:])
+        if not follow:
+            return below
+        return (max(follow.get(g, 0) - 0.75, 0) + 0.75 * len(follow) * below) / sum(follow.values())
+
+    def share(g, c):
+        near = {h: top[h][c] for h in top if h[:-1] == g[:-1] and len(h) == len(g)}
+        cuts = {h: (0, 1.0, 1.6, 2.2)[min(n, 3)] for h, n in near.items()}
+        n, below = sum(near.values()), shared(g[1:])
+        return (max(near.get(g, 0) - cuts.get(g, 0), 0) + max(sum(cuts.values()), 1e-3) * below) / n if n else below
+
+    for gram in [*top, "^q", "abbax", "cabbac", "^abz", "xyz"]:
+        assert model.gram(gram) == pytest.approx(np.log(share(gram, 0)) - np.log(share(gram, 1)), rel=1e-4, abs=1e-6), gram
+
+
+def test_features_are_those_of_the_words():
+    model = toxicity.Model({f"{t}.key": np.zeros(0, np.uint64) for t in ("top", "context", "shared", "shared_context")}, 0.5)
+    model.word = lambda w: len(w) - 3.0
+    texts = ["", "a bb CCC dddd eeeee", "%% $$", "naïve \u00e9t\u00e9 " * 20, "x"]
+    for _ in range(2):
+        got = model.features(texts)
+        for text, row in zip(texts, got):
+            each = np.array([len(w) - 3.0 for w in toxicity.WORD.findall(text.lower())])
+            n = len(each)
+            if not n:
+                assert not row.any()
+                continue
+            w = min(n, toxicity.WINDOW)
+            best = np.append(np.sort(np.maximum(each, 0))[::-1], np.zeros(8))[:8]
+            want = [each.mean(), max(each[i : i + w].sum() for i in range(n - w + 1)) / toxicity.WINDOW, best[0], best[:3].mean(), best.mean(), np.log(n)]
+            assert row == pytest.approx(want)
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
@@ -83,6 +131,16 @@ def test_shards_are_even_and_gapless(small, bucket_bytes):
     assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in text_of(small))
 
 
+def test_a_row_that_repeats_is_spread(spark, small):
+    same = spark.createDataFrame([(1, "same text", "en", "src0", 9)], small.schema)
+    docs = small.union(same.crossJoin(spark.range(5000)).drop("id"))
+    runs = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(docs.repartition(n), bucket_bytes=20_000, copies=100).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == small.count() + 5000
+    assert sorted((s, i) for _, s, i in runs[0]) == sorted(set((s, i) for _, s, i in runs[0]))
+    per_shard = [sum(d == 1 and s == k for d, s, _ in runs[0]) for k in range(24)]
+    assert min(per_shard) > 100
+
+
 def test_shuffle_repeats_and_mixes(small):
     a = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(small).collect()}
     assert a == {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(small).collect()}
