@@ -62,7 +62,7 @@ def matches(labels: Column, name: str, op: str, wanted: str) -> Column:
         return have == wanted
     if op == "!=":
         return have != wanted
-    found = F.rlike(have, F.lit(f"^(?:{wanted})$"))
+    found = F.rlike(have, F.lit(rf"\A(?:{wanted})\z"))
     return found if op == "=~" else ~found
 
 

@@ -89,11 +89,12 @@ def relevance(message: Column, needles: list[str]) -> Column:
     needles = list(dict.fromkeys(n.lower() for n in needles if n))
     if not needles:
         return F.lit(1.0)
-    found = tokens(F.lower(message))
-    length = F.greatest(F.size(found), F.lit(1))
+    low = F.lower(message)
+    length = F.greatest(F.regexp_count(low, F.lit(f"{IN_TOKEN}+")), F.lit(1))
 
     def part(needle: str) -> Column:
-        tf = F.size(F.filter(found, lambda t: t == needle)).cast("double")
+        whole = F.lit(f"(?<!{IN_TOKEN}){quoted(needle)}(?!{IN_TOKEN})")
+        tf = F.regexp_count(low, whole).cast("double") if is_token(needle) else F.lit(0.0)
         return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 12.0))
 
     total = part(needles[0])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT = 1000
+#: Where a record is; also the order of results, and the cursor.
+ADDRESS = ["tenant", "signal", "partition", "offset"]
 
 
 def fingerprint(kind: str, key: Column, value: Column) -> Column:
@@ -33,14 +35,14 @@ def postings(logs: DataFrame | None = None, spans: DataFrame | None = None, poin
         for column, kind in (("trace_id", "trace"), ("linked_trace_id", "trace"), ("resource_id", "resource"), ("scope_id", "scope")):
             if column in df.columns:
                 parts.append(_rows(df, kind, F.col(column)))
-        parts += _attributes(df, ["attributes", "filtered_attributes"])
+        parts += _attributes(df, ["attributes", "filtered_attributes", "resource_attributes", "scope_attributes", "metadata"])
     return reduce(DataFrame.unionByName, parts)
 
 
 def lookup(found: DataFrame, keys: list[tuple[str, str]], signal: str | None = None, start: int | None = None, end: int | None = None, after: tuple | None = None, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
     """Records that carry all keys, by address; times are inclusive, `after` is an address to go on from. No keys find nothing."""
     if not keys:
-        return found.limit(0).select("signal", "partition", "offset")
+        return found.limit(0).select(*ADDRESS)
     wanted = reduce(lambda a, b: a | b, [(F.col("key_type") == t) & (F.col("key") == k) for t, k in keys])
     rows = found.filter(wanted)
     if signal is not None:
@@ -51,6 +53,13 @@ def lookup(found: DataFrame, keys: list[tuple[str, str]], signal: str | None = N
         rows = rows.filter(F.col("timestamp") <= end)
     every = rows.groupBy("tenant", "signal", "partition", "offset").agg(F.countDistinct("key_type", "key").alias("n")).filter(F.col("n") == len(set(keys)))
     if after is not None:
-        every = every.filter(F.struct("signal", "partition", "offset") > F.struct(F.lit(after[0]), F.lit(after[1]), F.lit(after[2]).cast("long")))
-    out = every.orderBy("signal", "partition", "offset").select("signal", "partition", "offset")
+        kinds = dict(every.dtypes)
+        every = every.filter(F.struct(*ADDRESS) > F.struct(*[F.lit(a).cast(kinds[c]) for c, a in zip(ADDRESS, after)]))
+    out = every.orderBy(*ADDRESS).select(*ADDRESS)
     return out if limit is None else out.limit(limit)
+
+
+def page(found: DataFrame, keys: list[tuple[str, str]], limit: int = DEFAULT_LIMIT, after: tuple | None = None, **bounds) -> tuple[list, tuple | None]:
+    """A page of lookup(), at most `limit` records, and the cursor to go on with if there are more."""
+    rows = lookup(found, keys, after=after, limit=limit + 1, **bounds).collect()
+    return rows[:limit], tuple(rows[limit - 1]) if len(rows) > limit else None

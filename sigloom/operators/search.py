@@ -316,13 +316,19 @@ def grouped(found: DataFrame, s: Scan) -> DataFrame:
 
 
 def page_by_bytes(df: DataFrame, budget: int, after: tuple[int, int] | None = None) -> DataFrame:
-    """The first rows in (timestamp, offset) order whose messages fit the budget, and always one.
+    """The first rows in (timestamp, offset) order whose messages fit the budget, and always one. Null messages take no bytes.
 
-    A top-k by the largest number of rows that the budget could hold (each takes a byte at least) bounds the window.
+    Bytes are summed per minute first; only minutes that begin within the budget are read row by row, each by itself.
     """
     if after is not None:
         df = df.filter(F.struct("timestamp", "offset") > F.struct(F.lit(after[0]).cast("long"), F.lit(after[1]).cast("long")))
-    page = df.orderBy("timestamp", "offset").limit(budget)
-    running = Window.orderBy("timestamp", "offset").rowsBetween(Window.unboundedPreceding, 0)
-    page = page.withColumn("_sum", F.sum(F.octet_length("message")).over(running)).withColumn("_n", F.row_number().over(Window.orderBy("timestamp", "offset")))
-    return page.filter((F.col("_sum") <= budget) | (F.col("_n") == 1)).drop("_sum", "_n")
+    df = df.withColumn("_minute", F.expr("timestamp DIV 60000000000")).withColumn("_bytes", F.coalesce(F.octet_length("message"), F.lit(0)).cast("long"))
+    # A row for each minute in one task.
+    earlier = Window.orderBy("_minute")
+    minutes = df.groupBy("_minute").agg(F.sum("_bytes").alias("_sum"))
+    minutes = minutes.select("_minute", F.coalesce(F.sum("_sum").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.row_number().over(earlier).alias("_nth"))
+    inside = Window.partitionBy("_minute").orderBy("timestamp", "offset")
+    rows = df.join(minutes.filter(F.col("_ahead") <= budget), "_minute")
+    rows = rows.withColumn("_through", F.col("_ahead") + F.sum("_bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(inside))
+    page = rows.filter((F.col("_through") <= budget) | (F.col("_n") == 1) & (F.col("_nth") == 1))
+    return page.drop("_minute", "_bytes", "_ahead", "_nth", "_through", "_n")

@@ -11,21 +11,14 @@ from sigloom.functions import labels as L
 OUT_OF_ORDER_NS = 600 * 1_000_000_000
 
 
-def _comparable(df: DataFrame, columns: list[str]) -> list:
-    """Columns as values that have an order: maps as their entries."""
-    kinds = dict(df.dtypes)
-    return [L.canonical(F.col(c)).alias(c) if kinds[c].startswith("map<") else F.col(c) for c in columns]
-
-
 def winning(df: DataFrame, identity: list[str]) -> DataFrame:
-    """The record with the largest offset of each identity; equal offsets are decided by the other columns.
+    """The record with the largest offset of each identity, of the largest partition if several share it.
 
-    One aggregation with partial combination; no window sorts whole groups.
+    A rank of 1: Spark keeps a row of each identity before the exchange already, reads the columns that are
+    asked for, and moves filters on the identity below it.
     """
-    rest = [c for c in df.columns if c not in identity]
-    version = F.struct(F.col("offset").alias("_offset"), F.struct(*_comparable(df, [c for c in rest if c != "offset"])).alias("_rest"))
-    best = df.groupBy(*identity).agg(F.max_by(F.struct(*rest), version).alias("_w"))
-    return best.select(*[F.col(c) if c in identity else F.col(f"_w.{c}").alias(c) for c in df.columns])
+    newest = Window.partitionBy(*identity).orderBy(*[F.desc(c) for c in ("offset", "partition") if c in df.columns])
+    return df.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
 def winning_spans(spans: DataFrame) -> DataFrame:
@@ -38,23 +31,28 @@ def winning_points(points: DataFrame) -> DataFrame:
 
 def conflicts(points: DataFrame) -> DataFrame:
     """Identities with several values: what a strict writer would refuse."""
-    return points.groupBy("series_id", "timestamp").agg(F.countDistinct("value").alias("values")).filter("values > 1")
+    return points.groupBy("tenant", "series_id", "timestamp").agg(F.countDistinct("value").alias("values")).filter("values > 1")
 
 
 def classify_points(points: DataFrame) -> DataFrame:
-    """Each point in offset order as inserted, duplicate, replaced, obsolete or out_of_order."""
+    """Each point, arriving in offset order, as rejected, duplicate, replaced, out_of_order or inserted.
+
+    A point over ten minutes older than its series' latest is rejected. One equal to what its timestamp already holds
+    is a duplicate; another value for that timestamp replaces it. A new timestamp before the latest is out_of_order
+    (and kept), any other inserted. Obsolete points need records that arrive against offset order: streaming.live.in_order.
+    """
     arrival = Window.partitionBy("tenant", "series_id").orderBy("offset")
     before = arrival.rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("tenant", "series_id", "timestamp").orderBy("offset")
-    latest = F.max("timestamp").over(before)
-    last = F.lag("value").over(same)
+    points = points.withColumn("_latest", F.max("timestamp").over(before))
+    points = points.withColumn("_late", F.coalesce(F.col("_latest") - F.col("timestamp") > OUT_OF_ORDER_NS, F.lit(False)))
+    same = Window.partitionBy("tenant", "series_id", "timestamp", "_late").orderBy("offset")
     outcome = (
-        F.when(latest - F.col("timestamp") > OUT_OF_ORDER_NS, "out_of_order")
-        .when(F.lag("offset").over(same).isNull(), "inserted")
-        .when(last == F.col("value"), "duplicate")
-        .otherwise("replaced")
+        F.when(F.col("_late"), "rejected")
+        .when(F.lag("offset").over(same).isNotNull(), F.when(F.lag("value").over(same).eqNullSafe(F.col("value")), "duplicate").otherwise("replaced"))
+        .when(F.col("timestamp") < F.col("_latest"), "out_of_order")
+        .otherwise("inserted")
     )
-    return points.withColumn("outcome", outcome)
+    return points.withColumn("outcome", outcome).drop("_latest", "_late")
 
 
 def traces(spans: DataFrame) -> DataFrame:

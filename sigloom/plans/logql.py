@@ -320,7 +320,7 @@ def _pattern(rows: DataFrame, template: str) -> DataFrame:
     if not any(n != "_" for n in parts[1::2]):
         raise QueryError("the pattern names no capture")
     out = [quoted(p) if i % 2 == 0 else "(?s:.*?)" if p == "_" else f"(?P<{p}>(?s:.*?))" for i, p in enumerate(parts)]
-    return _regexp(rows, "^" + "".join(out) + "$", "PatternParserErr")
+    return _regexp(rows, r"\A" + "".join(out) + r"\z", "PatternParserErr")
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def _filter(rows: DataFrame, tests: list[tuple[str, str, Token]]) -> DataFrame:
         if op in ("=", "!="):
             holds = have == wanted if op == "=" else have != wanted
         elif op in ("=~", "!~"):
-            found = F.rlike(have, F.lit(f"^(?:{L.check_regex(wanted)})$"))
+            found = F.rlike(have, F.lit(rf"\A(?:{L.check_regex(wanted)})\z"))
             holds = found if op == "=~" else ~found
         else:
             holds = _measured_test(have, op, wanted)

@@ -244,7 +244,7 @@ def test(c: Condition, columns: set[str]) -> Column:
     if c.value is None:
         return F.size(found) == 0 if c.op == "=" else F.size(found) > 0
     if c.op in ("=~", "!~"):
-        pattern = f"^(?:{L.check_regex(str(c.value))})$"
+        pattern = rf"\A(?:{L.check_regex(str(c.value))})\z"
         hit = F.exists(found, lambda v: F.coalesce(F.rlike(v["s"], F.lit(pattern)), F.lit(False)))
         return hit if c.op == "=~" else (F.size(found) > 0) & ~hit
     number = c.value if isinstance(c.value, float) else None

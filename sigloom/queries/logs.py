@@ -36,13 +36,13 @@ stream("logql_drop_keep", '{event_type="error"} | drop user | line_format "{{.ev
 
 @register("logql_json_path", f"SELECT event_id AS offset, json_extract_string(props, '$.k') AS line FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 98")
 def logql_json_path(spark, sf_dir):
-    logs = R.logs(spark, sf_dir).drop("message").join(R.table(spark, sf_dir, "events").select(F.col("event_id").alias("offset"), F.col("props").alias("message")), "offset")
+    logs = R.logs(spark, sf_dir, message=F.col("props"))
     return logql.pipeline(logql.entries(logs), logql.parse_selector('{} | json a="k" | a >= 98 | line_format "{{.a}}"')).select("offset", "line")
 
 
 @register("logql_json_flatten", f"SELECT event_id AS offset, json_extract_string(props, '$.k') AS line FROM events WHERE event_type = 'view'")
 def logql_json_flatten(spark, sf_dir):
-    logs = R.logs(spark, sf_dir).drop("message").join(R.table(spark, sf_dir, "events").select(F.col("event_id").alias("offset"), F.col("props").alias("message")), "offset")
+    logs = R.logs(spark, sf_dir, message=F.col("props"))
     return logql.pipeline(logql.entries(logs), logql.parse_selector('{event_type="view"} | json | line_format "{{.k}}"')).select("offset", "line")
 
 
@@ -111,13 +111,14 @@ metric(
 metric("logql_absent", 'absent_over_time({event_type="error", user="7"}[1h])', f"SELECT t, '' AS labels, CAST(1 AS DOUBLE) AS value FROM steps WHERE NOT EXISTS (SELECT 1 FROM logs WHERE event_type = 'error' AND usr = '7' AND ts_ns > t - {HOUR} AND ts_ns <= t)")
 BY = f"SELECT t, event_type, CAST(count(*) AS DOUBLE) AS v FROM steps JOIN logs ON ts_ns > t - {DAY} AND ts_ns <= t WHERE {{where}} GROUP BY 1, 2"
 SUMS = "sum by (event_type) (count_over_time({{{0}}}[1d]))"
+IN_ONE_TO_FIVE = "usr BETWEEN '1' AND '5'"
 metric("logql_arith", f"({SUMS.format('')} * 2 + 1) % 7 ^ 2", f"SELECT t, 'event_type=' || event_type AS labels, pow(v * 2 + 1, 1) % 49 AS value FROM ({BY.format(where='true')})")
 metric("logql_compare_filter", f"{SUMS.format('')} > 60", f"SELECT t, 'event_type=' || event_type AS labels, v AS value FROM ({BY.format(where='true')}) WHERE v > 60")
 metric("logql_compare_bool", f"{SUMS.format('')} >= bool 60", f"SELECT t, 'event_type=' || event_type AS labels, CAST(v >= 60 AS DOUBLE) AS value FROM ({BY.format(where='true')})")
 metric(
     "logql_binary_match",
     f"{SUMS.format('user=~`[1-5]`')} / on(event_type) {SUMS.format('')}",
-    f"SELECT t, 'event_type=' || event_type AS labels, round(a.v / b.v, 6) AS value FROM ({BY.format(where=chr(117) + 'sr BETWEEN ' + chr(39) + '1' + chr(39) + ' AND ' + chr(39) + '5' + chr(39))}) a JOIN ({BY.format(where='true')}) b USING (t, event_type)",
+    f"SELECT t, 'event_type=' || event_type AS labels, round(a.v / b.v, 6) AS value FROM ({BY.format(where=IN_ONE_TO_FIVE)}) a JOIN ({BY.format(where='true')}) b USING (t, event_type)",
 )
 metric(
     "logql_group_left",

@@ -115,7 +115,7 @@ def prom_remote_read(spark, sf_dir):
     f"WITH {R.COUNTER_SQL}, d AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY off) AS p FROM points) SELECT 'events_total/' || event_type AS series_id, sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) AS total, count(*) FILTER (value < p) AS resets, count(*) AS points FROM d GROUP BY 1",
 )
 def rollup_counter(spark, sf_dir):
-    return rollup.counters(R.counter_points(spark, sf_dir))
+    return rollup.counters(R.counter_points(spark, sf_dir)).drop("tenant")
 
 
 @register("rollup_gauge", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(arg_max(value, off), 6) AS latest, round(min(value), 6) AS least, round(max(value), 6) AS most, count(*) AS points FROM points GROUP BY 1")

@@ -127,19 +127,35 @@ def winner_points(spark, sf_dir):
     return winners.winning_points(_versions(spark, sf_dir)).select("series_id", "timestamp", "offset", F.round("value", 6).alias("value"))
 
 
-@register("point_conflicts", f"WITH {VERSIONS_SQL} SELECT series_id, ts AS timestamp, count(DISTINCT value) AS values FROM v GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+@register("point_conflicts", f"WITH {VERSIONS_SQL} SELECT 'default' AS tenant, series_id, ts AS timestamp, count(DISTINCT value) AS values FROM v GROUP BY 1, 2, 3 HAVING count(DISTINCT value) > 1")
 def point_conflicts(spark, sf_dir):
     return winners.conflicts(_versions(spark, sf_dir))
 
 
+def _arrivals(spark, sf_dir):
+    """Gauge points as they come in: corrections and retries soon after their points, some points late, and some too late to count."""
+    p = R.gauge_points(spark, sf_dir).select("tenant", "series_id", "timestamp", "offset", "value")
+
+    def again(every: int, kind: int, value, back: int):
+        return p.filter(f"offset % {every} = 0").select("tenant", "series_id", (F.col("timestamp") - back).alias("timestamp"), (F.col("offset") * 10 + kind).alias("offset"), value.alias("value"))
+
+    v = F.col("value")
+    return again(1, 0, v, 0).unionByName(again(7, 1, v + 1, 0)).unionByName(again(11, 2, v, 0)).unionByName(again(5, 3, v, 300_000_000_000)).unionByName(again(9, 4, v, 900_000_000_000))
+
+
+ARRIVALS_SQL = """p AS (SELECT 'event_value/' || event_type || '/' || (user_id % 10) AS series_id, epoch_us(ts) * 1000 AS ts, event_id AS off, value FROM events),
+ w AS (SELECT series_id, ts, off, 0 AS kind, value FROM p UNION ALL SELECT series_id, ts, off, 1, value + 1 FROM p WHERE off % 7 = 0 UNION ALL SELECT series_id, ts, off, 2, value FROM p WHERE off % 11 = 0
+  UNION ALL SELECT series_id, ts - 300000000000, off, 3, value FROM p WHERE off % 5 = 0 UNION ALL SELECT series_id, ts - 900000000000, off, 4, value FROM p WHERE off % 9 = 0)"""
+
+
 @register(
     "point_outcomes",
-    f"""WITH {VERSIONS_SQL}, o AS (SELECT *, max(ts) OVER (PARTITION BY series_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest,
-    lag(off) OVER (PARTITION BY series_id, ts ORDER BY off) AS po, lag(value) OVER (PARTITION BY series_id, ts ORDER BY off) AS pv FROM v)
-    SELECT CASE WHEN latest - ts > 600000000000 THEN 'out_of_order' WHEN po IS NULL THEN 'inserted' WHEN pv = value THEN 'duplicate' ELSE 'replaced' END AS outcome, count(*) AS n FROM o GROUP BY 1""",
+    f"""WITH {ARRIVALS_SQL}, l AS (SELECT *, max(ts) OVER (PARTITION BY series_id ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM (SELECT series_id, ts, off * 10 + kind AS arrived, value FROM w)),
+    o AS (SELECT *, coalesce(latest - ts > 600000000000, false) AS late, lag(arrived) OVER (PARTITION BY series_id, ts, coalesce(latest - ts > 600000000000, false) ORDER BY arrived) AS po, lag(value) OVER (PARTITION BY series_id, ts, coalesce(latest - ts > 600000000000, false) ORDER BY arrived) AS pv FROM l)
+    SELECT CASE WHEN late THEN 'rejected' WHEN po IS NOT NULL AND pv = value THEN 'duplicate' WHEN po IS NOT NULL THEN 'replaced' WHEN ts < latest THEN 'out_of_order' ELSE 'inserted' END AS outcome, count(*) AS n FROM o GROUP BY 1""",
 )
 def point_outcomes(spark, sf_dir):
-    return winners.classify_points(_versions(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return winners.classify_points(_arrivals(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @register("delta_accumulator", f"WITH {R.GAUGE_SQL} SELECT off AS offset, round(sum(value) OVER (PARTITION BY event_type, usr ORDER BY off), 4) AS cumulative FROM points")

@@ -27,9 +27,19 @@ def stream_minute_counts(spark, sf_dir):
     return drain(counts.select((F.unix_micros("minute") / 60_000_000).cast("long").alias("minute"), "severity_text", "n"), "complete")
 
 
-@register("stream_in_order")
+@register(
+    "stream_in_order",
+    f"""WITH {R.GAUGE_SQL}, s AS (SELECT 'event_value/' || event_type || '/' || usr AS series_id, ts_ns - CASE off % 9 WHEN 0 THEN 900000000000 WHEN 4 THEN 300000000000 ELSE 0 END AS ts, off, value FROM points),
+    l AS (SELECT *, max(ts) OVER (PARTITION BY series_id ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM s),
+    k AS (SELECT *, coalesce(latest - ts > 600000000000, false) AS late FROM l),
+    o AS (SELECT *, lag(off) OVER (PARTITION BY series_id, ts, late ORDER BY off) AS po, lag(value) OVER (PARTITION BY series_id, ts, late ORDER BY off) AS pv FROM k),
+    d AS (SELECT *, CASE WHEN late THEN 'rejected' WHEN po IS NOT NULL AND pv = value THEN 'duplicate' WHEN po IS NOT NULL THEN 'replaced' WHEN ts < latest THEN 'out_of_order' ELSE 'inserted' END AS outcome FROM o)
+    SELECT 'default' AS tenant, series_id, ts AS timestamp, off AS offset, round(value, 4) AS value, round(coalesce(sum(CASE WHEN outcome NOT IN ('rejected', 'duplicate') THEN value END) OVER (PARTITION BY series_id ORDER BY off), 0), 4) AS cumulative, outcome FROM d""",
+)
 def stream_in_order(spark, sf_dir):
-    return drain(live.in_order(streamed(spark, sf_dir, R.gauge_points)))
+    late = F.when(F.col("offset") % 9 == 0, 900_000_000_000).when(F.col("offset") % 9 == 4, 300_000_000_000).otherwise(0)
+    points = streamed(spark, sf_dir, R.gauge_points).withColumn("timestamp", F.col("timestamp") - late)
+    return drain(live.in_order(points).select("tenant", "series_id", "timestamp", "offset", F.round("value", 4).alias("value"), F.round("cumulative", 4).alias("cumulative"), "outcome"))
 
 
 @register("stream_without_retries", "SELECT event_id AS offset FROM events")
@@ -40,9 +50,9 @@ def stream_without_retries(spark, sf_dir):
 
 @register("rollup_merge", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(sum(value), 4) AS total, max(off) AS offset, count(*) AS points FROM points GROUP BY 1")
 def rollup_merge(spark, sf_dir):
-    points = R.gauge_points(spark, sf_dir).select("series_id", "offset", "value")
+    points = R.gauge_points(spark, sf_dir).select("tenant", "series_id", "offset", "value")
     first = live.merge_rollup(points.filter("offset < 6000"), None)
-    return live.merge_rollup(points.filter("offset >= 4000"), first).withColumn("total", F.round("total", 4))
+    return live.merge_rollup(points.filter("offset >= 4000"), first).withColumn("total", F.round("total", 4)).drop("tenant")
 
 
 @register("usage_counters", "SELECT event_type AS feature, CAST(date_trunc('month', ts) AS VARCHAR) AS month, count(*) AS n FROM events GROUP BY 1, 2")

@@ -25,10 +25,11 @@ def no_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Log records from `events`: one line `type=… user=… cents=…` each."""
+def logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, message: Column | None = None) -> DataFrame:
+    """Log records from `events`: one line `type=… user=… cents=…` each, or another column of the table."""
     e = table(spark, sf_dir, "events") if events is None else events
     error = F.col("event_type") == "error"
+    line = F.concat(F.lit("type="), "event_type", F.lit(" user="), "user_id", F.lit(" cents="), F.round(F.col("value") * 100).cast("long")) if message is None else message
     user = (F.col("user_id") % 10).cast("string")
     return e.select(
         F.lit("default").alias("tenant"),
@@ -38,7 +39,7 @@ def logs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> D
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp"),
         F.when(error, 17).otherwise(9).alias("severity_number"),
         F.when(error, "ERROR").otherwise("INFO").alias("severity_text"),
-        F.concat(F.lit("type="), "event_type", F.lit(" user="), "user_id", F.lit(" cents="), F.round(F.col("value") * 100).cast("long")).alias("message"),
+        line.alias("message"),
         L.make(event_type=F.col("event_type"), user=user).alias("labels"),
         L.make(k=F.get_json_object("props", "$.k")).alias("metadata"),
         no_map().alias("attributes"),

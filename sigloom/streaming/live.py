@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,35 +40,49 @@ def minute_counts(logs: DataFrame, grace: str = GRACE) -> DataFrame:
     return logs.withWatermark("ts", grace).groupBy(F.window("ts", "1 minute"), "severity_text").agg(F.count("*").alias("n")).select(F.col("window.start").alias("minute"), "severity_text", "n")
 
 
-ORDERED = "series_id string, timestamp bigint, offset bigint, value double, cumulative double, outcome string"
+ORDERED = "tenant string, series_id string, timestamp bigint, offset bigint, value double, cumulative double, outcome string"
 
 
 def in_order(points: DataFrame, mode: str = "append") -> DataFrame:
-    """Points by series with their outcome and running total: those older than the series' latest by over ten minutes are marked out_of_order.
+    """Points in order of arrival with their outcome and the running total of those kept.
 
-    State is the latest timestamp and the total of a series; a watermark for all series would judge by the wrong clock.
+    The outcomes are those of winners.classify_points(), and obsolete: another value for a timestamp that a record of a
+    larger offset already holds. Within a micro-batch the order of arrival is that of the column `arrival`, or else of the
+    offsets. State of a series: its latest timestamp, the total, and what each timestamp of the last ten minutes holds;
+    a watermark for all series would judge by the wrong clock.
     """
 
     def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest, total = state.get if state.exists else (-(1 << 62), 0.0)
-        rows = pd.concat(list(batches)).sort_values("offset")
+        latest, total, kept = state.get if state.exists else (None, 0.0, "{}")
+        held = {int(at): tuple(x) for at, x in json.loads(kept).items()}
+        rows = pd.concat(list(batches)).sort_values("arrival", kind="stable")
         cumulative, outcome = [], []
-        for at, value in zip(rows["timestamp"], rows["value"]):
-            late = latest - at > OUT_OF_ORDER_NS
-            if not late:
-                latest, total = max(latest, at), total + value
+        for at, offset, value in zip(rows["timestamp"].tolist(), rows["offset"].tolist(), rows["value"].tolist()):
+            winner = held.get(at)
+            if latest is not None and latest - at > OUT_OF_ORDER_NS:
+                outcome.append("rejected")
+            elif winner is not None and (winner[1] == value or value != value and winner[1] != winner[1]):
+                outcome.append("duplicate")
+            elif winner is not None and winner[0] >= offset:
+                outcome.append("obsolete")
+            else:
+                outcome.append("replaced" if winner is not None else "out_of_order" if latest is not None and at < latest else "inserted")
+                latest, total = at if latest is None else max(latest, at), total + value
+                held[at] = (offset, value)
             cumulative.append(total)
-            outcome.append("out_of_order" if late else "inserted")
-        state.update((int(latest), float(total)))
-        yield rows.assign(cumulative=cumulative, outcome=outcome)[["series_id", "timestamp", "offset", "value", "cumulative", "outcome"]]
+        held = {at: x for at, x in held.items() if latest - at <= OUT_OF_ORDER_NS}
+        state.update((latest, float(total), json.dumps(held)))
+        yield rows.assign(cumulative=cumulative, outcome=outcome)[["tenant", "series_id", "timestamp", "offset", "value", "cumulative", "outcome"]]
 
-    rows = points.select("series_id", "timestamp", "offset", "value")
-    return rows.groupBy("series_id").applyInPandasWithState(settle, ORDERED, "latest bigint, total double", mode, GroupStateTimeout.NoTimeout)
+    arrival = F.col("arrival" if "arrival" in points.columns else "offset").cast("long").alias("arrival")
+    rows = points.select("tenant", "series_id", "timestamp", "offset", "value", arrival)
+    return rows.groupBy("tenant", "series_id").applyInPandasWithState(settle, ORDERED, "latest bigint, total double, held string", mode, GroupStateTimeout.NoTimeout)
 
 
 def merge_rollup(batch: DataFrame, held: DataFrame | None) -> DataFrame:
-    """A rollup of totals brought up to date by a batch of (series_id, offset, value); offsets at or below those held are retries."""
-    new = batch if held is None else batch.join(held.select("series_id", F.col("offset").alias("_seen")), "series_id", "left").filter("_seen IS NULL OR offset > _seen").drop("_seen")
-    add = new.groupBy("series_id").agg(F.sum("value").alias("total"), F.max("offset").alias("offset"), F.count("*").alias("points"))
-    both = add if held is None else held.select("series_id", "total", "offset", "points").unionByName(add)
-    return both.groupBy("series_id").agg(F.sum("total").alias("total"), F.max("offset").alias("offset"), F.sum("points").alias("points"))
+    """A rollup of totals brought up to date by a batch of (tenant, series_id, offset, value); offsets at or below those held are retries."""
+    series = ["tenant", "series_id"]
+    new = batch if held is None else batch.join(held.select(*series, F.col("offset").alias("_seen")), series, "left").filter("_seen IS NULL OR offset > _seen").drop("_seen")
+    add = new.groupBy(*series).agg(F.sum("value").alias("total"), F.max("offset").alias("offset"), F.count("*").alias("points"))
+    both = add if held is None else held.select(*series, "total", "offset", "points").unionByName(add)
+    return both.groupBy(*series).agg(F.sum("total").alias("total"), F.max("offset").alias("offset"), F.sum("points").alias("points"))
