@@ -320,7 +320,7 @@ def _pattern(rows: DataFrame, template: str) -> DataFrame:
     if not any(n != "_" for n in parts[1::2]):
         raise QueryError("the pattern names no capture")
     out = [quoted(p) if i % 2 == 0 else "(?s:.*?)" if p == "_" else f"(?P<{p}>(?s:.*?))" for i, p in enumerate(parts)]
-    return _regexp(rows, r"\A" + "".join(out) + r"\z", "PatternParserErr")
+    return _regexp(rows, r"\A" + "".join(out) + r"(?![\s\S])", "PatternParserErr")
 
 
 def _unpack(rows: DataFrame) -> DataFrame:
@@ -489,7 +489,7 @@ class Evaluator:
         rows = pipeline(self.rows.filter((F.col("ts") > g.start - call.width) & (F.col("ts") <= g.end)), call.selector)
         seconds = call.width / SECOND
         if name == "absent_over_time":
-            present = V.covering(rows.select("ts"), g, call.width).select("i").distinct()
+            present = V.placed(rows.select("ts"), g, call.width).select("lo", "hi").distinct().select(F.explode(F.sequence("lo", "hi")).alias("i")).distinct()
             return g.steps(self.spark).join(present, "i", "left_anti").select("i", V.nothing().alias("lk"), F.lit(1.0).alias("value"))
         value = F.octet_length("line").cast("double") if "bytes" in name else F.lit(1.0)
         labels = F.col("labels")
@@ -497,43 +497,18 @@ class Evaluator:
             have = F.coalesce(F.try_element_at("labels", F.lit(call.selector.unwrap)), F.try_element_at("meta", F.lit(call.selector.unwrap)))
             value = units.measured(have, seconds=True)
         rows = rows.select("ts", "offset", L.canonical(labels).alias("lk"), value.alias("value")).filter("value IS NOT NULL")
-        if name in ADDITIVE:
-            return self.additive(rows, call, *ADDITIVE[name](seconds))
-        inside = V.covering(rows, g, call.width)
-        at = F.struct("ts", "offset")
-        v = F.col("value")
-        found = {
-            "avg_over_time": lambda: F.avg(v),
-            "first_over_time": lambda: F.min_by(v, at),
-            "last_over_time": lambda: F.max_by(v, at),
-            "stddev_over_time": lambda: F.stddev_pop(v),
-            "stdvar_over_time": lambda: F.var_pop(v),
-            "quantile_over_time": lambda: F.percentile(v, F.lit(call.parameter)),
-            "rate_counter": lambda: V.increase(V.sorted_samples()) / seconds,
-        }[name]()
-        return inside.groupBy("i", "lk").agg(found.alias("value"))
-
-    def additive(self, rows: DataFrame, call: RangeCall, combine, scale: float) -> DataFrame:
-        """Sums, counts and extremes: combined per step first where windows are whole steps, then spread over the windows."""
-        g = self.grid
-        if g.n > 1 and call.width % g.step == 0:
-            rows = V.sub_buckets(rows, g, call.width).groupBy("ts", "lk").agg(combine(F.col("value")).alias("value"))
-        return V.covering(rows, g, call.width).groupBy("i", "lk").agg((combine(F.col("value")) / scale).alias("value"))
-
-
-def _extreme(function):
-    return lambda seconds: (function, 1.0)
-
-
-ADDITIVE = {
-    "count_over_time": lambda seconds: (F.sum, 1.0),
-    "bytes_over_time": lambda seconds: (F.sum, 1.0),
-    "sum_over_time": lambda seconds: (F.sum, 1.0),
-    "rate": lambda seconds: (F.sum, seconds),
-    "bytes_rate": lambda seconds: (F.sum, seconds),
-    "min_over_time": _extreme(F.min),
-    "max_over_time": _extreme(F.max),
-}
+        placed = V.placed(rows, g, call.width)
+        if name == "quantile_over_time":
+            return V.quantile_over(placed, call.parameter)
+        if name == "rate_counter":
+            grown = V.counter_parts(lambda a, b: F.when(b >= a, b - a).otherwise(F.greatest(b, F.lit(0.0))))
+            return V.over_windows(V.steps_between(placed), grown, F.sum("s") / seconds)
+        parts, found = V.SIMPLE[SUMMED.get(name, name.removesuffix("_over_time"))]()
+        return V.over_windows(placed, parts, found / seconds if name in ("rate", "bytes_rate") else found)
+
+
+#: Functions that add up what they count.
+SUMMED = {"count_over_time": "sum", "bytes_over_time": "sum", "rate": "sum", "bytes_rate": "sum"}
 
 
 def metric_query(logs: DataFrame, text: str, start: int, end: int, step: int | None = None, deletes=()) -> DataFrame:

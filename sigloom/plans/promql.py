@@ -296,25 +296,39 @@ class Evaluator:
         return self.everywhere(last.filter("NOT s.stale").select("i", "lk", F.col("s.value").alias("value")), g, fixed)
 
     def window(self, node, g: V.Grid) -> tuple[DataFrame, bool]:
-        """Samples (i, lk, ts, offset, value) of the windows of a range selector or subquery."""
+        """Samples (lk, ts, offset, value, lo, hi, aside) of a range selector or subquery, with the windows that hold them."""
         at, fixed = self.placed(node, g)
         if isinstance(node, Selector):
             if node.width is None:
                 raise QueryError("a range vector is needed here")
-            found = self.matched(node).filter("NOT stale")
-            inside = V.covering(found, at, node.width).filter(F.col("ns") <= at.time(F.col("i")) * 1_000_000)
-            # One sample for each label set and millisecond: the last written.
-            return inside.groupBy("i", "lk", "ts").agg(F.max_by("value", F.struct("ns", "offset")).alias("value"), F.max("offset").alias("offset")), fixed
+            return self.samples(node, at), fixed
         first = (at.start - node.width) // node.step * node.step + node.step
         last = at.end // node.step * node.step
         if last < first:
-            return self.spark.createDataFrame([], f"i bigint, lk {V.ENTRIES}, ts bigint, offset bigint, value double"), fixed
+            return self.spark.createDataFrame([], f"lk {V.ENTRIES}, ts bigint, offset bigint, value double, lo bigint, hi bigint, aside boolean"), fixed
         inner = V.grid(first, last, node.step, g.per_second, 50 * MOST_STEPS)
         found = self.eval(node.inner, inner)
         if isinstance(found, V.Scalar):
             found = inner.steps(self.spark).select("i", V.nothing().alias("lk"), found.column(F.col("i")).alias("value"))
-        found = found.select(inner.time(F.col("i")).alias("ts"), F.col("i").alias("offset"), "lk", "value")
-        return V.covering(found, at, node.width), fixed
+        found = found.select("lk", inner.time(F.col("i")).alias("ts"), F.col("i").alias("offset"), "value")
+        return V.placed(found, at, node.width).withColumn("aside", F.lit(False)), fixed
+
+    def samples(self, node: Selector, at: V.Grid) -> DataFrame:
+        """One sample for each label set and millisecond: the last written. Where one comes after the millisecond's beginning,
+        a window that ends right there holds the one before it, which then stands aside."""
+        exact = F.col("ns") == F.col("ts") * 1_000_000
+        order = F.struct("ns", "offset")
+        found = self.matched(node).filter("NOT stale").groupBy("lk", "ts").agg(
+            F.max_by(F.struct("ns", "offset", "value"), order).alias("s"), F.max_by(F.when(exact, F.struct("offset", "value")), F.when(exact, F.col("offset"))).alias("e")
+        )
+        later = F.col("s.ns") > F.col("ts") * 1_000_000
+        rows = V.placed(found, at, node.width, ready=F.col("ts") + later.cast("long"))
+        own = F.struct(F.col("s.offset").alias("offset"), F.col("s.value").alias("value"), F.col("lo"), F.col("hi"), F.lit(False).alias("aside"))
+        step = V.only_step(F.col("ts"), at)
+        ending = F.struct(F.col("e.offset").alias("offset"), F.col("e.value").alias("value"), step.alias("lo"), step.alias("hi"), F.lit(True).alias("aside"))
+        # Samples that only such a window holds would be lost with placed(), so it is asked for both.
+        alone = V.placed(found.filter(later & F.col("e").isNotNull()), at, node.width).filter(step.isNotNull()).select("lk", "ts", ending.alias("r"))
+        return rows.select("lk", "ts", own.alias("r")).unionByName(alone).select("lk", "ts", "r.*")
 
     def call(self, node: Call, g: V.Grid):
         name = node.name
@@ -333,13 +347,10 @@ class Evaluator:
         if not isinstance(node.args[0], (Selector, Subquery)):
             raise QueryError(f"{name} takes a range vector")
         inside, fixed = self.window(node.args[0], g)
-        v, at = F.col("value"), F.struct("ts", "offset")
         if name in COUNTERS:
-            found = inside.groupBy("i", "lk").agg(V.sorted_samples().alias("s"))
-            found = found.select("i", "lk", counted(name, F.col("s")).alias("value"))
+            found = V.over_windows(V.steps_between(inside), V.counter_parts(STEPS.get(name, lambda a, b: F.lit(0.0))), counted(name))
         else:
-            total = {"sum": F.sum(v), "avg": F.avg(v), "min": ieee.f_min(v), "max": ieee.f_max(v), "count": F.count("*").cast("double"), "last": F.max_by(v, at), "present": F.first(F.lit(1.0))}[name.removesuffix("_over_time")]
-            found = inside.groupBy("i", "lk").agg(total.alias("value"))
+            found = V.over_windows(inside, *V.SIMPLE[name.removesuffix("_over_time")]())
         return self.everywhere(found, g, fixed)
 
     def scalar(self, vector: DataFrame, g: V.Grid) -> DataFrame:
@@ -377,23 +388,29 @@ def by_step(vector: DataFrame) -> bool:
     return bool(vector.schema["lk"].metadata.get("scalar"))
 
 
-def counted(name: str, s: Column) -> Column:
-    """Counter functions over sorted samples; NaN where there are too few."""
-    first, last, n = F.element_at(s, 1), F.element_at(s, -1), F.size(s)
+#: What a counter function sums over neighbouring samples.
+STEPS = {
+    "rate": lambda a, b: F.when(b < a, b).otherwise(b - a),
+    "increase": lambda a, b: F.when(b < a, b).otherwise(b - a),
+    "changes": lambda a, b: (a != b).cast("double"),
+    "resets": lambda a, b: (b < a).cast("double"),
+}
+
+
+def counted(name: str) -> Column:
+    """Counter functions from the parts of a window; NaN where there are too few samples."""
+    n, first, last, total = F.sum("n"), F.min("first"), F.max("last"), F.sum("s")
     seconds = (last["ts"] - first["ts"]) / 1000.0
-    grown = V.adjacent(s, lambda a, b: F.when(b < a, b).otherwise(b - a))
-    rate = F.when((n < 2) | (seconds <= 0), ieee.NAN).otherwise(grown / F.nullif(seconds, F.lit(0.0)))
-    before = F.element_at(s, F.greatest(n - 1, F.lit(1)))
-    gap = (last["ts"] - before["ts"]) / 1000.0
-    step = F.when(last["value"] >= before["value"], last["value"] - before["value"]).otherwise(last["value"])
+    gap = (last["ts"] - last["before_ts"]) / 1000.0
+    step = F.when(last["value"] >= last["before"], last["value"] - last["before"]).otherwise(last["value"])
     return {
-        "rate": rate,
-        "increase": F.when(n < 2, ieee.NAN).otherwise(grown),
+        "rate": F.when((n < 2) | (seconds <= 0), ieee.NAN).otherwise(total / F.nullif(seconds, F.lit(0.0))),
+        "increase": F.when(n < 2, ieee.NAN).otherwise(total),
         "irate": F.when((n < 2) | (gap <= 0), ieee.NAN).otherwise(step / F.nullif(gap, F.lit(0.0))),
         "delta": last["value"] - first["value"],
-        "idelta": F.when(n < 2, 0.0).otherwise(last["value"] - before["value"]),
-        "changes": V.adjacent(s, lambda a, b: (a != b).cast("double")),
-        "resets": V.adjacent(s, lambda a, b: (b < a).cast("double")),
+        "idelta": F.when(n < 2, 0.0).otherwise(last["value"] - last["before"]),
+        "changes": total,
+        "resets": total,
     }[name]
 
 

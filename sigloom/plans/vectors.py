@@ -117,12 +117,60 @@ def _up(a: Column, step: int) -> Column:
     return _down(a + (step - 1), step)
 
 
-def sub_buckets(samples: DataFrame, grid: Grid, width: int) -> DataFrame:
-    """samples with `ts` moved up to the step that they first count for, where windows are whole numbers of steps.
+def placed(samples: DataFrame, grid: Grid, width: int, shift: int = 0, ready: Column | None = None) -> DataFrame:
+    """samples with the first and last step (`lo`, `hi`) whose window holds them; `ready` is when a sample is there, if not at ts."""
+    start = grid.start - shift
+    first = F.greatest(_up((F.col("ts") if ready is None else ready) - start, grid.step), F.lit(0))
+    last = F.least(_down(F.col("ts") + (width - 1) - start, grid.step), F.lit(grid.n - 1))
+    inside = samples.filter((F.col("ts") > start - width) & (F.col("ts") <= grid.end - shift))
+    return inside.withColumn("lo", first.cast("long")).withColumn("hi", last.cast("long")).filter("hi >= lo")
 
-    Partial sums per such bucket are then spread over the windows instead of single samples.
-    """
-    return samples.withColumn("ts", F.lit(grid.start) + _up(F.col("ts") - grid.start, grid.step) * grid.step)
+
+def only_step(ts: Column, grid: Grid) -> Column:
+    """The step at the time ts, if there is one."""
+    i = _down(ts - grid.start, grid.step)
+    return F.when((F.pmod(ts - grid.start, F.lit(grid.step).cast("long")) == 0) & (i >= 0) & (i < grid.n), i).cast("long")
+
+
+def over_windows(rows: DataFrame, parts: dict[str, Column], found: Column) -> DataFrame:
+    """`found` of each step and label set, from `parts` of the rows (lo, hi, lk, ...): rows of the same windows are combined before
+    they are spread over them, so a sample that a thousand windows hold is not copied a thousand times."""
+    near = rows.groupBy("lo", "hi", "lk").agg(*[c.alias(n) for n, c in parts.items()])
+    return near.withColumn("i", F.explode(F.sequence("lo", "hi"))).groupBy("i", "lk").agg(found.alias("value"))
+
+
+def moments(root: bool) -> tuple[dict[str, Column], Column]:
+    """Population variance (or its root) for over_windows(): counts, means and squared deviations, merged without cancellation."""
+    parts = {"n": F.count("*").cast("double"), "mean": F.avg("value"), "m2": F.var_pop("value") * F.count("*")}
+    each = F.collect_list(F.struct("n", "mean", "m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2"))
+
+    whole = F.aggregate(F.slice(each, F.lit(2), F.size(each)), F.element_at(each, 1), merge)
+    variance = whole["m2"] / whole["n"]
+    return parts, F.sqrt(variance) if root else variance
+
+
+SIMPLE = {
+    "sum": lambda: ({"a": F.sum("value")}, F.sum("a")),
+    "count": lambda: ({"a": F.count("*").cast("double")}, F.sum("a")),
+    "avg": lambda: ({"a": F.sum("value"), "b": F.count("*")}, F.sum("a") / F.sum("b")),
+    "min": lambda: ({"a": ieee.f_min(F.col("value"))}, ieee.f_min(F.col("a"))),
+    "max": lambda: ({"a": ieee.f_max(F.col("value"))}, ieee.f_max(F.col("a"))),
+    "first": lambda: ({"a": F.min(F.struct("ts", "offset", "value"))}, F.min("a")["value"]),
+    "last": lambda: ({"a": F.max(F.struct("ts", "offset", "value"))}, F.max("a")["value"]),
+    "present": lambda: ({"a": F.lit(1.0)}, F.max("a")),
+    "stddev": lambda: moments(True),
+    "stdvar": lambda: moments(False),
+}
+
+
+def quantile_over(rows: DataFrame, q: float) -> DataFrame:
+    """Equal values of the same windows travel as one with their number."""
+    near = rows.groupBy("lo", "hi", "lk", "value").agg(F.count("*").alias("n"))
+    return near.withColumn("i", F.explode(F.sequence("lo", "hi"))).groupBy("i", "lk").agg(F.percentile("value", F.lit(q), F.col("n")).alias("value"))
 
 
 # Aggregation
@@ -239,23 +287,27 @@ def set_operation(left: DataFrame, right: DataFrame, op: str, m: Matching, alway
     return a.join(b.select("i", "key"), ["i", "key"], how).select("i", "lk", "value")
 
 
-# Counters over sorted samples
+# Counters
 
 
-def sorted_samples() -> Column:
-    """Aggregate: the window's samples in time order, as array<struct<ts, value>>."""
-    return F.array_sort(F.collect_list(F.struct("ts", "offset", "value")))
+def steps_between(samples: DataFrame) -> DataFrame:
+    """Counter rows for over_windows(): a sample with its windows, and the step from its predecessor with those that hold both.
 
-
-def adjacent(samples: Column, step) -> Column:
-    """Sum over neighbouring samples of step(previous, next)."""
-    pairs = F.zip_with(F.slice(samples, F.lit(1), F.greatest(F.size(samples) - 1, F.lit(0))), F.slice(samples, F.lit(2), F.greatest(F.size(samples) - 1, F.lit(0))), lambda a, b: step(a["value"], b["value"]))
-    return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
-
-
-def increase(samples: Column) -> Column:
-    """Growth of a counter: after a drop the new value counts as a whole."""
-    return adjacent(samples, lambda a, b: F.when(b >= a, b - a).otherwise(F.greatest(b, F.lit(0.0))))
+    samples are (lk, ts, offset, value, lo, hi); those with `aside` are nobody's predecessor.
+    """
+    main = ~F.col("aside") if "aside" in samples.columns else F.lit(True)
+    order = Window.partitionBy("lk").orderBy("ts", main, "offset").rowsBetween(Window.unboundedPreceding, -1)
+    rows = samples.withColumn("p", F.last(F.when(main, F.struct("ts", "value", "hi")), ignorenulls=True).over(order))
+    point = F.struct("ts", "offset", "value", F.col("p.ts").alias("before_ts"), F.col("p.value").alias("before"))
+    own = F.struct(F.col("lo"), F.col("hi"), point.alias("at"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    pair = F.struct(F.col("lo"), F.least("hi", "p.hi").alias("hi"), F.lit(None).cast(samples.select(F.struct("ts", "offset", "value", F.col("ts").alias("before_ts"), F.col("value").alias("before")).alias("x")).schema["x"].dataType).alias("at"), F.col("p.value").alias("a"), F.col("value").alias("b"))
+    both = F.when(F.col("p").isNotNull() & (F.least("hi", "p.hi") >= F.col("lo")), F.array(own, pair)).otherwise(F.array(own))
+    return rows.select("lk", F.explode(both).alias("r")).select("lk", "r.*")
+
+
+def counter_parts(step) -> dict[str, Column]:
+    """Of counter rows: the number of samples, the earliest and latest, and the sum of step(before, after)."""
+    return {"n": F.count("at"), "first": F.min("at"), "last": F.max("at"), "s": F.coalesce(F.sum(F.when(F.col("at").isNull(), step(F.col("a"), F.col("b")))), F.lit(0.0))}
 
 
 def tall(vector: DataFrame, grid: Grid) -> DataFrame:
