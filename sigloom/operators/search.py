@@ -143,6 +143,8 @@ def parse(pairs: list[tuple[str, str]]) -> Scan:
         elif name == "message_any":
             s.any_of.append(value)
             s.score_terms.append(value)
+        elif name == "message_exact":
+            s.parts.append(lambda v=value: sure(message() == v))
         elif name in ("message_contains", "message_prefix", "message_suffix"):
             how = {"message_contains": "contains", "message_prefix": "startswith", "message_suffix": "endswith"}[name]
             s.parts.append(lambda v=value, h=how: getattr(F.lower(message()), h)(v.lower()))

@@ -306,8 +306,9 @@ def _groups(pattern: str) -> tuple[str, list[tuple[str, int]]]:
     return "".join(out), names
 
 
-def _regexp(rows: DataFrame, pattern: str, error: str = "RegexpParserErr") -> DataFrame:
+def _regexp(rows: DataFrame, pattern: str, error: str = "RegexpParserErr", whole: bool = False) -> DataFrame:
     numbered, names = _groups(L.check_regex(pattern))
+    numbered = rf"\A(?:{numbered})\z" if whole else numbered
     if not names:
         raise QueryError("the pattern names no capture")
     found = L.make(**{n: F.regexp_extract("line", numbered, i) for n, i in names})
@@ -320,7 +321,7 @@ def _pattern(rows: DataFrame, template: str) -> DataFrame:
     if not any(n != "_" for n in parts[1::2]):
         raise QueryError("the pattern names no capture")
     out = [quoted(p) if i % 2 == 0 else "(?s:.*?)" if p == "_" else f"(?P<{p}>(?s:.*?))" for i, p in enumerate(parts)]
-    return _regexp(rows, r"\A" + "".join(out) + r"(?![\s\S])", "PatternParserErr")
+    return _regexp(rows, "".join(out), "PatternParserErr", whole=True)
 
 
 def _unpack(rows: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """The registered queries, by surface."""
 
-from sigloom.queries import logs, matrix, metrics, search, streams, traces  # noqa: F401
+from sigloom.queries import formats, logs, matrix, metrics, search, streams, traces  # noqa: F401
