@@ -46,6 +46,24 @@ def logql_json_flatten(spark, sf_dir):
     return logql.pipeline(logql.entries(logs), logql.parse_selector('{event_type="view"} | json | line_format "{{.k}}"')).select("offset", "line")
 
 
+@register("logql_unpack", f"{WITH} SELECT off AS offset, 'user=' || user_id AS line FROM logs WHERE event_type = 'click'")
+def logql_unpack(spark, sf_dir):
+    packed = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","_entry":"user='), "user_id", F.lit('"}'))
+    return logql.pipeline(logql.entries(R.logs(spark, sf_dir, message=packed)), logql.parse_selector('{} | unpack | kind = "click"')).select("offset", "line")
+
+
+@register("logql_decolorize", f"{WITH} SELECT off AS offset, event_type || ' done' AS line FROM logs WHERE event_type = 'view'")
+def logql_decolorize(spark, sf_dir):
+    coloured = F.concat(F.lit("\x1b[31m"), "event_type", F.lit("\x1b[0m do"), F.lit("\x1b[1;32mne"))
+    return logql.pipeline(logql.entries(R.logs(spark, sf_dir, message=coloured)), logql.parse_selector('{event_type="view"} | decolorize')).select("offset", "line")
+
+
+@register("logql_stream_labels", f"{WITH} SELECT off AS offset, event_type || '/' || usr || '/' || k || '/' || CASE WHEN event_type = 'error' THEN 'error' ELSE 'unknown' END AS labels FROM logs WHERE ts_ns BETWEEN {T0} AND {T1} AND event_type = 'error' ORDER BY ts_ns, off LIMIT 300")
+def logql_stream_labels(spark, sf_dir):
+    found = logql.stream_query(R.logs(spark, sf_dir), '{event_type="error"}', T0, T1, 300, forward=True)
+    return found.select("offset", F.concat_ws("/", *[F.col("labels")[n] for n in ("event_type", "user", "k", "detected_level")]).alias("labels"))
+
+
 @register("logql_delete_filter", f"{WITH} SELECT off AS offset FROM logs WHERE NOT (event_type = 'click' AND contains(message, 'user=1') AND ts_ns BETWEEN {T0} AND {T0 + 5 * DAY})")
 def logql_delete_filter(spark, sf_dir):
     return logql.deleted(logql.entries(R.logs(spark, sf_dir)), [('{event_type="click"} |= "user=1"', T0, T0 + 5 * DAY)]).select("offset")
@@ -125,6 +143,14 @@ metric(
     f"count_over_time({{}}[1d]) / on(event_type) group_left() {SUMS.format('')}",
     f"SELECT t, 'event_type=' || event_type || ',user=' || usr AS labels, round(a.v / b.v, 6) AS value FROM (SELECT t, event_type, usr, CAST(count(*) AS DOUBLE) AS v FROM steps JOIN logs ON ts_ns > t - {DAY} AND ts_ns <= t GROUP BY 1, 2, 3) a JOIN ({BY.format(where='true')}) b USING (t, event_type)",
 )
+metric("logql_sort", f"sort_desc({SUMS.format('')})", f"SELECT t, 'event_type=' || event_type AS labels, v AS value FROM ({BY.format(where='true')})")
+for op, sql in (("avg", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count", "CAST(count(*) AS DOUBLE)"), ("stddev", "stddev_pop(v)"), ("stdvar", "var_pop(v)")):
+    metric(f"logql_agg_{op}", f"{op} by (user) (count_over_time({{}}[1d]))", f"SELECT t, 'user=' || usr AS labels, round({sql}, 6) AS value FROM (SELECT t, usr, event_type, CAST(count(*) AS DOUBLE) AS v FROM steps JOIN logs ON ts_ns > t - {DAY} AND ts_ns <= t GROUP BY 1, 2, 3) GROUP BY 1, 2")
+metric(
+    "logql_group_right",
+    f"{SUMS.format('')} / on(event_type) group_right() count_over_time({{}}[1d])",
+    f"SELECT t, 'event_type=' || event_type || ',user=' || usr AS labels, round(b.v / a.v, 6) AS value FROM (SELECT t, event_type, usr, CAST(count(*) AS DOUBLE) AS v FROM steps JOIN logs ON ts_ns > t - {DAY} AND ts_ns <= t GROUP BY 1, 2, 3) a JOIN ({BY.format(where='true')}) b USING (t, event_type)",
+)
 metric("logql_and", f"{SUMS.format('')} and on(event_type) ({SUMS.format('')} > 60)", f"SELECT t, 'event_type=' || event_type AS labels, v AS value FROM ({BY.format(where='true')}) WHERE v > 60")
 metric("logql_unless", f"{SUMS.format('')} unless ({SUMS.format('')} > 60)", f"SELECT t, 'event_type=' || event_type AS labels, v AS value FROM ({BY.format(where='true')}) WHERE v <= 60")
 metric("logql_or", f"({SUMS.format('')} > 70) or ({SUMS.format('')} * 10)", f"SELECT t, 'event_type=' || event_type AS labels, CASE WHEN v > 70 THEN v ELSE v * 10 END AS value FROM ({BY.format(where='true')})")

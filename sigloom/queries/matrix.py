@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.catalog import register
+from sigloom.sources import readers
 from sigloom.sources import relations as R
 
 L = f"WITH {R.LOGS_SQL} "
@@ -13,18 +14,14 @@ G = f"WITH {R.GAUGE_SQL} "
 
 
 def views(spark, sf_dir):
-    """Temporary views of the relations; event, link and exemplar views explode nested arrays."""
+    """Temporary views of the six relations."""
     R.logs(spark, sf_dir).createOrReplaceTempView("v_logs")
     R.spans(spark, sf_dir).createOrReplaceTempView("v_spans")
     R.gauge_points(spark, sf_dir).createOrReplaceTempView("v_metric_points")
-    nested = R.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("shipped-"), "l_returnflag").alias("name"), "l_suppkey", "l_partkey"))).alias("events")
-    )
-    exploded = nested.select(R.hex_id(F.col("l_orderkey") + 1, 32).alias("trace_id"), F.posexplode("events").alias("ordinal", "e"))
-    exploded.select("trace_id", "ordinal", "e.name").createOrReplaceTempView("v_span_events")
-    exploded.select("trace_id", "ordinal", R.hex_id(F.col("e.l_suppkey") + 1, 32).alias("linked_trace_id")).createOrReplaceTempView("v_span_links")
-    logs = R.logs(spark, sf_dir)
-    logs.select("tenant", "trace_id", "span_id", F.concat(F.lit("event_value/"), F.col("labels")["event_type"], F.lit("/"), F.col("labels")["user"]).alias("series_id"), F.lit(0).alias("ordinal")).createOrReplaceTempView("v_metric_exemplars")
+    nested = R.nested_spans(spark, sf_dir)
+    readers.span_events(nested).createOrReplaceTempView("v_span_events")
+    readers.span_links(nested).createOrReplaceTempView("v_span_links")
+    R.exemplars(spark, sf_dir).createOrReplaceTempView("v_metric_exemplars")
 
 
 def sql(name: str, text: str, oracle: str) -> None:
@@ -37,12 +34,12 @@ def sql(name: str, text: str, oracle: str) -> None:
 APP = "coalesce(try_element_at(labels, 'event_type'), '')"
 K = "coalesce(try_element_at(metadata, 'k'), '')"
 sql("row_count", "SELECT count(*) AS rows FROM v_logs", f"{L} SELECT count(*) AS rows FROM logs")
-sql("group_map", f"SELECT {APP} AS app, count(*) AS rows FROM v_logs GROUP BY 1", f"{L} SELECT event_type AS app, count(*) AS rows FROM logs GROUP BY 1")
-sql("aggregates", "SELECT count_if(locate('error', lower(message)) > 0) AS errors, count(DISTINCT partition) AS partitions, percentile_disc(0.5) WITHIN GROUP (ORDER BY char_length(message)) AS median_message FROM v_logs", f"{L} SELECT count(*) FILTER (contains(lower(message), 'error')) AS errors, CAST(1 AS BIGINT) AS partitions, CAST(quantile_disc(length(message), 0.5) AS DOUBLE) AS median_message FROM logs")
+sql("group_map", f"SELECT {APP} AS kind, count(*) AS rows FROM v_logs GROUP BY 1", f"{L} SELECT event_type AS kind, count(*) AS rows FROM logs GROUP BY 1")
+sql("aggregates", "SELECT count_if(locate('error', lower(message)) > 0) AS errors, count(DISTINCT partition) AS partitions, percentile_disc(0.5) WITHIN GROUP (ORDER BY char_length(message)) AS middle_length FROM v_logs", f"{L} SELECT count(*) FILTER (contains(lower(message), 'error')) AS errors, CAST(1 AS BIGINT) AS partitions, CAST(quantile_disc(length(message), 0.5) AS DOUBLE) AS middle_length FROM logs")
 sql("window", f"SELECT timestamp, offset, row_number() OVER (PARTITION BY {APP} ORDER BY timestamp, partition, offset) AS row_number FROM v_logs", f"{L} SELECT ts_ns AS timestamp, off AS offset, row_number() OVER (PARTITION BY event_type ORDER BY ts_ns, off) AS row_number FROM logs")
-sql("cte_array", f"WITH parsed AS (SELECT {APP} AS app, {K} AS code FROM v_logs) SELECT app, array_join(array_sort(collect_list(code)), ',') AS codes FROM parsed GROUP BY app", f"{L} SELECT event_type AS app, string_agg(k, ',' ORDER BY k) AS codes FROM logs GROUP BY 1")
-sql("self_join", "SELECT count(*) AS matching_rows FROM v_logs a JOIN v_logs b ON a.partition = b.partition AND a.offset = b.offset", f"{L} SELECT count(*) AS matching_rows FROM logs")
-sql("timestamp_map_filter", f"SELECT offset, message FROM v_logs WHERE timestamp >= 0 AND timestamp < 4102444800000000000 AND {APP} = 'view' AND {K} = '50'", f"{L} SELECT off AS offset, message FROM logs WHERE event_type = 'view' AND k = '50'")
+sql("cte_array", f"WITH told AS (SELECT {APP} AS kind, {K} AS k FROM v_logs) SELECT kind, array_join(array_sort(collect_list(k)), ',') AS ks FROM told GROUP BY kind", f"{L} SELECT event_type AS kind, string_agg(k, ',' ORDER BY k) AS ks FROM logs GROUP BY 1")
+sql("self_join", "SELECT count(*) AS pairs FROM v_logs a JOIN v_logs b ON a.partition = b.partition AND a.offset = b.offset", f"{L} SELECT count(*) AS pairs FROM logs")
+sql("timestamp_map_filter", f"SELECT offset, message FROM v_logs WHERE timestamp >= 0 AND timestamp < 2000000000000000000 AND {APP} = 'view' AND {K} = '50'", f"{L} SELECT off AS offset, message FROM logs WHERE event_type = 'view' AND k = '50'")
 sql("ordered_limit", "SELECT timestamp, offset, message FROM v_logs ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs ORDER BY 1 DESC, 2 DESC LIMIT 1")
 sql("ordered_map_limit", f"SELECT timestamp, offset, message FROM v_logs WHERE {K} = '50' ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs WHERE k = '50' ORDER BY 1 DESC, 2 DESC LIMIT 1")
 sql("ordered_residual_limit", "SELECT timestamp, offset, message FROM v_logs WHERE locate('error', lower(coalesce(message, ''))) > 0 ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs WHERE contains(lower(message), 'error') ORDER BY 1 DESC, 2 DESC LIMIT 1")
@@ -52,8 +49,8 @@ sql("mixed_residual", f"SELECT offset FROM v_logs WHERE {APP} = 'click' AND loca
 sql("disjunction", f"SELECT offset FROM v_logs WHERE {APP} = 'click' OR {K} = '20'", f"{L} SELECT off AS offset FROM logs WHERE event_type = 'click' OR k = '20'")
 sql("missing_map_key", "SELECT coalesce(try_element_at(labels, 'missing'), '') AS missing, count(*) AS rows FROM v_logs GROUP BY 1", f"{L} SELECT '' AS missing, count(*) AS rows FROM logs")
 sql("missing_map_equality", "SELECT count(*) AS rows FROM v_logs WHERE coalesce(try_element_at(labels, 'missing'), '') = ''", f"{L} SELECT count(*) AS rows FROM logs")
-sql("alias_subquery", f"SELECT app, count(*) AS rows FROM (SELECT {APP} AS app, offset FROM v_logs WHERE timestamp >= 0) GROUP BY app", f"{L} SELECT event_type AS app, count(*) AS rows FROM logs GROUP BY 1")
-sql("aggregate_combinators", f"SELECT count_if({K} = '50') AS failures, count(DISTINCT offset) FILTER (WHERE {APP} = 'view') AS api_offsets FROM v_logs", f"{L} SELECT count(*) FILTER (k = '50') AS failures, count(DISTINCT off) FILTER (event_type = 'view') AS api_offsets FROM logs")
+sql("alias_subquery", f"SELECT kind, count(*) AS rows FROM (SELECT {APP} AS kind, offset FROM v_logs WHERE timestamp >= 0) GROUP BY kind", f"{L} SELECT event_type AS kind, count(*) AS rows FROM logs GROUP BY 1")
+sql("aggregate_combinators", f"SELECT count_if({K} = '50') AS fifties, count(DISTINCT offset) FILTER (WHERE {APP} = 'view') AS view_offsets FROM v_logs", f"{L} SELECT count(*) FILTER (k = '50') AS fifties, count(DISTINCT off) FILTER (event_type = 'view') AS view_offsets FROM logs")
 sql("span_aggregates", "SELECT count(*) AS n, count(DISTINCT trace_id) AS traces, sum(duration_nanos) AS total, count_if(status_code = 2) AS errors FROM v_spans", f"{S} SELECT count(*) AS n, count(DISTINCT trace_id) AS traces, CAST(sum(duration) AS BIGINT) AS total, CAST(count(*) FILTER (status = 2) AS BIGINT) AS errors FROM spans")
 sql("span_window", "SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY timestamp, offset) AS n FROM v_spans", f"{S} SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY ts, off) AS n FROM spans")
 sql("span_map_filter", "SELECT trace_id, span_id FROM v_spans WHERE coalesce(try_element_at(resource_attributes, 'service.name'), '') <> '' AND coalesce(try_element_at(attributes, 'flag'), '') <> ''", f"{S} SELECT trace_id, span_id FROM spans WHERE flag <> ''")

@@ -64,6 +64,28 @@ AVG = f"SELECT t, event_type, usr, avg(value) AS v FROM steps JOIN points ON ts_
 metric("prom_agg_by", "sum by (event_type) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'event_type=' || event_type AS labels, round(sum(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
 metric("prom_agg_without", "max without (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'event_type=' || event_type AS labels, round(max(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
 metric("prom_stddev", "stddev by (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'user=' || usr AS labels, round(stddev_pop(v), 6) AS value FROM ({AVG}) GROUP BY 1, 2")
+for op, call in (("avg", "avg(v)"), ("min", "min(v)"), ("stdvar", "var_pop(v)")):
+    metric(f"prom_{op}", f"{op} by (user) (avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, 'user=' || usr AS labels, round({call}, 3) AS value FROM ({AVG}) GROUP BY 1, 2", digits=3)
+metric("prom_negative_offset", "sum_over_time(event_value[6h] offset -6h)", f"{GAUGE} {windowed(6 * HOUR, 'sum(value)', shift=-6 * HOUR)}")
+for edge, at in (("start", T0), ("end", T0 + (N - 1) * STEP)):
+    metric(f"prom_at_{edge}", f"sum_over_time(event_value[1d] @ {edge}())", f"{GAUGE}, a AS (SELECT event_type, usr, sum(value) AS v FROM points WHERE ts_ms > {at - DAY} AND ts_ns <= {at} * 1000000 GROUP BY 1, 2) SELECT t, {LABELS} AS labels, round(v, 6) AS value FROM steps, a")
+metric(
+    "prom_group_right",
+    "sum by (event_type) (avg_over_time(event_value[1d])) / on(event_type) group_right() avg_over_time(event_value[1d])",
+    f"{GAUGE}, a AS ({AVG}) SELECT t, {BARE} AS labels, round(s / v, 6) AS value FROM a JOIN (SELECT t, event_type, sum(v) AS s FROM a GROUP BY 1, 2) USING (t, event_type)",
+)
+metric("prom_ignoring", "avg_over_time(event_value[1d]) - ignoring(user) group_left() max by (event_type) (avg_over_time(event_value[1d]))", f"{GAUGE}, a AS ({AVG}) SELECT t, {BARE} AS labels, round(v - m, 6) AS value FROM a JOIN (SELECT t, event_type, max(v) AS m FROM a GROUP BY 1, 2) USING (t, event_type)")
+
+
+def _stale_points(spark, sf_dir):
+    """Gauge points, every fourth of them the marker that ends a series."""
+    points = R.gauge_points(spark, sf_dir)
+    ends = F.col("offset") % 4 == 0
+    return points.withColumn("value", F.when(ends, float("nan")).otherwise(F.col("value"))).withColumn("value_bits", F.when(ends, F.lit(promql.STALE_BITS)).otherwise(F.lit(0).cast("long")))
+
+
+metric("prom_stale", "event_value", f"{GAUGE} SELECT t, {LABELS} AS labels, round(v, 6) AS value FROM (SELECT t, event_type, usr, arg_max(value, (ts_ns, off)) AS v, arg_max(off, (ts_ns, off)) AS o FROM steps JOIN points ON ts_ns <= t * 1000000 AND ts_ns >= (t - 300000) * 1000000 GROUP BY 1, 2, 3) WHERE o % 4 <> 0", _stale_points)
+metric("prom_stale_range", "count_over_time(event_value[1d])", f"{GAUGE} SELECT t, {LABELS} AS labels, CAST(count(*) AS DOUBLE) AS value FROM steps JOIN points ON ts_ns > (t - {DAY}) * 1000000 AND ts_ns <= t * 1000000 WHERE off % 4 <> 0 GROUP BY t, event_type, usr", _stale_points)
 metric("prom_count_group", "count(avg_over_time(event_value[1d])) * group(avg_over_time(event_value[1d]))", f"{GAUGE} SELECT t, '' AS labels, CAST(count(*) AS DOUBLE) AS value FROM ({AVG}) GROUP BY 1")
 metric(
     "prom_group_left",
@@ -124,6 +146,50 @@ def rollup_gauge(spark, sf_dir):
     return out.select("series_id", *[F.round(c, 6).alias(c) for c in ("latest", "least", "most")], "points")
 
 
+@register("rollup_delta", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(sum(value), 4) AS total, count(*) AS points FROM points GROUP BY 1")
+def rollup_delta(spark, sf_dir):
+    return rollup.deltas(R.gauge_points(spark, sf_dir)).select("series_id", F.round("total", 4).alias("total"), "points")
+
+
+@register("rollup_sum", f"WITH {R.GAUGE_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, round(arg_max(value, off) - arg_min(value, off), 6) AS total, count(*) AS points FROM points GROUP BY 1")
+def rollup_sum(spark, sf_dir):
+    return rollup.sums(R.gauge_points(spark, sf_dir)).select("series_id", F.round("total", 6).alias("total"), "points")
+
+
+KINDS_SQL = "kinds AS (SELECT *, CASE event_type WHEN 'click' THEN 'gauge' WHEN 'view' THEN 'delta' WHEN 'error' THEN 'sum' ELSE 'counter' END AS kind, lag(value) OVER (PARTITION BY event_type, usr ORDER BY off) AS p FROM points)"
+
+
+@register(
+    "rollup_lifetime",
+    f"""WITH {R.GAUGE_SQL}, {KINDS_SQL} SELECT 'event_value/' || event_type || '/' || usr AS series_id, kind, round(CASE kind WHEN 'gauge' THEN arg_max(value, off) WHEN 'delta' THEN sum(value) WHEN 'sum' THEN arg_max(value, off) - arg_min(value, off)
+    ELSE sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) END, 4) AS total, count(*) AS points FROM kinds GROUP BY 1, 2""",
+)
+def rollup_lifetime(spark, sf_dir):
+    kind = F.col("labels")["event_type"]
+    points = R.gauge_points(spark, sf_dir).withColumn("metric_kind", F.when(kind == "click", "gauge").otherwise("sum")).withColumn("temporality", F.when(kind == "view", 1).otherwise(2)).withColumn("monotonic", ~kind.isin("click", "view", "error"))
+    return rollup.lifetime(points).select("series_id", "kind", F.round("total", 4).alias("total"), "points")
+
+
+@register(
+    "rollup_summary",
+    f"""WITH {R.GAUGE_SQL}, s AS (SELECT event_type, off, off % 40 + 1 AS n, CAST(off % 40 + 1 AS DOUBLE) / 2 AS total, lag(off % 40 + 1) OVER (PARTITION BY event_type ORDER BY off) AS p FROM points)
+    SELECT event_type AS series_id, CAST(sum(CASE WHEN p IS NULL OR n < p THEN n ELSE n - p END) AS BIGINT) AS count, sum(CASE WHEN p IS NULL OR n < p THEN n ELSE n - p END) / 2.0 AS sum, count(*) FILTER (n < p) AS resets, count(*) AS points, max(off) / 2.0 AS last_median FROM s GROUP BY 1""",
+)
+def rollup_summary(spark, sf_dir):
+    n = F.col("offset") % 40 + 1
+    points = R.gauge_points(spark, sf_dir).select(
+        "tenant", F.col("labels")["event_type"].alias("series_id"), "offset", n.alias("count"), (n / 2).cast("double").alias("sum"), F.array(F.struct(F.lit(0.5).alias("quantile"), (F.col("offset") / 2).alias("value"))).alias("quantiles")
+    )
+    return rollup.summaries(points).select("series_id", "count", "sum", "resets", "points", F.col("quantiles")[0]["value"].alias("last_median"))
+
+
+@register("rollup_exponential", "SELECT event_type AS series_id, 2 AS scale, count(*) AS count, count(*) FILTER (user_id % 3 = 0) AS b0, count(*) FILTER (user_id % 3 = 1) AS b1, count(*) FILTER (user_id % 3 = 2) AS b2 FROM events GROUP BY 1")
+def rollup_exponential(spark, sf_dir):
+    bucket = F.create_map((F.col("user_id") % 3).cast("int"), F.lit(1).cast("long"))
+    points = R.table(spark, sf_dir, "events").select(F.lit("default").alias("tenant"), F.col("event_type").alias("series_id"), F.lit(2).alias("scale"), F.lit(0).cast("long").alias("zero_count"), bucket.alias("positive"), F.create_map().cast("map<int,bigint>").alias("negative"), F.lit(1).cast("long").alias("count"), F.lit(0.0).alias("sum"))
+    return rollup.exponential_histograms(points).select("series_id", "scale", "count", *[F.col("positive")[n].alias(f"b{n}") for n in range(3)])
+
+
 @register(
     "rollup_histogram",
     """SELECT event_type AS series_id, count(*) FILTER (value <= 5) AS b1, count(*) FILTER (value > 5 AND value <= 10) AS b2, count(*) FILTER (value > 10 AND value <= 20) AS b3, count(*) FILTER (value > 20) AS b4, count(*) AS count FROM events GROUP BY 1""",

@@ -15,7 +15,7 @@ DOC_TOKENS = f"list_filter(regexp_split_to_array(text, '{TOKEN}'), lambda x: x <
 
 def scan(name: str, pairs: str, sql: str, source=R.logs, keep: tuple[str, ...] = ("offset", "message")) -> None:
     """Register a request over the log relation; `keep` are its output columns unless it counts or groups."""
-    parsed = [tuple(p.split("=", 1)) for p in pairs.split("&")]
+    parsed = [tuple(p.split("=", 1)) for p in pairs.split("&") if p]
 
     @register(name, sql)
     def run(spark, sf_dir):
@@ -50,6 +50,10 @@ on_logs("field_contains", "field_contains=resource.loki.label.event_type=ic", "c
 on_logs("field_regex", "field_regex=attr.loki.metadata.k=^[12][0-9]$", "regexp_matches(k, '^[12][0-9]$')")
 on_logs("field_numeric_ge", "field_numeric=attr.loki.metadata.k:ge:90", "CAST(k AS HUGEINT) >= 90")
 on_logs("field_numeric_ne", "field_numeric=otel.severity_number:ne:9", "sev <> 9")
+on_logs("match_all", "", "true")
+on_logs("match_none", "field_in=attr.loki.metadata.nothing=x", "false")
+on_logs("msg_exact", "message_exact=type=click user=46 cents=1231", "message = 'type=click user=46 cents=1231'")
+scan("group_null_key", "group_by=scope_name", f"{WITH} SELECT CAST(NULL AS VARCHAR) AS scope_name, count(*) AS count FROM logs")
 on_logs("msg_contains_ci", "message_contains=CENTS=12", "contains(lower(message), 'cents=12')")
 on_logs("msg_prefix", "message_prefix=TYPE=PUR", "starts_with(lower(message), 'type=pur')")
 on_logs("msg_suffix", "message_suffix=5", "ends_with(message, '5')")

@@ -42,6 +42,17 @@ def stream_in_order(spark, sf_dir):
     return drain(live.in_order(points).select("tenant", "series_id", "timestamp", "offset", F.round("value", 4).alias("value"), F.round("cumulative", 4).alias("cumulative"), "outcome"))
 
 
+@register(
+    "stream_sealed_traces",
+    f"""WITH {R.LOGS_SQL}, g AS (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY trace_id ORDER BY ts_ns) < 7200000000000 THEN 0 ELSE 1 END AS opens FROM logs),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY trace_id ORDER BY ts_ns, off ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT trace_id, count(*) AS spans, min(ts_ns) AS start_timestamp, max(ts_ns + 5) AS end_timestamp FROM s GROUP BY trace_id, n HAVING max(ts_ns) + 7200000000000 <= (SELECT max(ts_ns) FROM logs) - 900000000000""",
+)
+def stream_sealed_traces(spark, sf_dir):
+    spans = streamed(spark, sf_dir, R.logs).withColumn("end_timestamp", F.col("timestamp") + 5)
+    return drain(live.sealed_traces(spans, "2 hours"))
+
+
 @register("stream_without_retries", "SELECT event_id AS offset FROM events")
 def stream_without_retries(spark, sf_dir):
     logs = streamed(spark, sf_dir, R.logs).select("ts", "offset")

@@ -34,6 +34,21 @@ flat("traceql_parent", '{ span.flag = "R" && span.quantity >= 48 } < { name = "o
 flat("traceql_sibling", '{ span.quantity = 50 } ~ { span.flag = "A" }', "flag = 'A' AND EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.parent_span_id AND c.span_id <> s.span_id AND c.quantity = '50')")
 flat("traceql_not_child", '{ span.status = "F" } !> { span.flag = "R" }', "flag = 'R' AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id AND p.ostatus = 'F')")
 flat("traceql_union_child", '{ span.status = "P" } &> { span.quantity > 48 }', "coalesce(CAST(quantity AS INT) > 48, false) AND EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id AND p.ostatus = 'P') OR coalesce(ostatus = 'P', false) AND EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.span_id AND CAST(c.quantity AS INT) > 48)")
+flat("traceql_not_parent", '{ span.flag = "R" } !< { name = "order" }', "name = 'order' AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.span_id AND c.flag = 'R')")
+flat("traceql_not_sibling", '{ span.quantity = 50 } !~ { span.flag = "A" }', "flag = 'A' AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.parent_span_id AND c.span_id <> s.span_id AND c.quantity = '50')")
+flat("traceql_union_parent", '{ span.quantity > 48 } &< { span.status = "P" }', "coalesce(ostatus = 'P', false) AND EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.span_id AND CAST(c.quantity AS INT) > 48) OR coalesce(CAST(quantity AS INT) > 48, false) AND EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id AND p.ostatus = 'P')")
+OTHER = "EXISTS (SELECT 1 FROM spans c WHERE c.trace_id = s.trace_id AND c.parent_span_id = s.parent_span_id AND c.span_id <> s.span_id AND {})"
+flat("traceql_union_sibling", '{ span.quantity = 50 } &~ { span.flag = "A" }', f"coalesce(flag = 'A', false) AND {OTHER.format('c.quantity = 50')} OR coalesce(quantity = '50', false) AND {OTHER.format("c.flag = 'A'")}")
+flat("traceql_precedence", '{ span.flag = "R" } || { span.flag = "A" } > { name = "nothing" }', "coalesce(flag = 'R', false)")
+flat("traceql_sum_min_max", '{ name = "line" } | sum(span.quantity) > 100 | min(span.quantity) > 2 | max(span.quantity) <= 49', "name = 'line' AND trace_id IN (SELECT trace_id FROM spans WHERE name = 'line' GROUP BY 1 HAVING sum(CAST(quantity AS INT)) > 100 AND min(CAST(quantity AS INT)) > 2 AND max(CAST(quantity AS INT)) <= 49)")
+
+
+@register("traceql_select", f"{WITH} SELECT trace_id, span_id, quantity, service FROM spans WHERE flag = 'R'")
+def traceql_select(spark, sf_dir):
+    out = traceql.selected(R.spans(spark, sf_dir), traceql.parse('{ span.flag = "R" } | select(span.quantity, resource.service.name)'))
+    return out.select("trace_id", "span_id", F.col("`select:span.quantity`").alias("quantity"), F.col("`select:resource.service.name`").alias("service"))
+
+
 flat("traceql_and", '{ span.flag = "R" } && { span.quantity > 47 }', "(coalesce(flag = 'R', false) OR coalesce(CAST(quantity AS INT) > 47, false)) AND trace_id IN (SELECT trace_id FROM spans WHERE flag = 'R') AND trace_id IN (SELECT trace_id FROM spans WHERE CAST(quantity AS INT) > 47)")
 flat("traceql_or", '{ span.quantity = 1 } || { span.priority = "5-LOW" }', "coalesce(quantity = '1', false) OR coalesce(priority = '5-LOW', false)")
 flat("traceql_trace_fields", '{ rootName = "order" && rootServiceName = "shop" && traceDuration > 100s && name = "line" }', "name = 'line' AND trace_id IN (SELECT trace_id FROM spans GROUP BY 1 HAVING max(ts + duration) - min(ts) > 100000000000 AND count(*) FILTER (parent_span_id IS NULL) > 0)")
@@ -48,6 +63,10 @@ spans("traceql_not_descendant", '{ name = "system" } !>> { name = "user" }', REL
 spans("traceql_union", '{ name = "system" } &>> { duration > 1s }', RELATED + "s.duration > 1000000000 AND EXISTS (SELECT 1 FROM up JOIN cspans p ON p.conv_id = up.conv_id AND p.turn = up.a WHERE up.conv_id = s.conv_id AND up.turn = s.turn AND p.role = 'system') OR s.role = 'system' AND EXISTS (SELECT 1 FROM up JOIN cspans c ON c.conv_id = up.conv_id AND c.turn = up.turn WHERE up.conv_id = s.conv_id AND up.a = s.turn AND c.duration > 1000000000)", R.conversation_spans)
 
 
+spans("traceql_not_ancestor", '{ duration > 1s } !<< { name = "user" }', RELATED + "s.role = 'user' AND NOT EXISTS (SELECT 1 FROM up JOIN cspans c ON c.conv_id = up.conv_id AND c.turn = up.turn WHERE up.conv_id = s.conv_id AND up.a = s.turn AND c.duration > 1000000000)", R.conversation_spans)
+spans("traceql_union_ancestor", '{ duration > 1s } &<< { name = "system" }', RELATED + "s.role = 'system' AND EXISTS (SELECT 1 FROM up JOIN cspans c ON c.conv_id = up.conv_id AND c.turn = up.turn WHERE up.conv_id = s.conv_id AND up.a = s.turn AND c.duration > 1000000000) OR s.duration > 1000000000 AND EXISTS (SELECT 1 FROM up JOIN cspans p ON p.conv_id = up.conv_id AND p.turn = up.a WHERE up.conv_id = s.conv_id AND up.turn = s.turn AND p.role = 'system')", R.conversation_spans)
+
+
 @register(
     "traceql_search",
     f"{WITH} SELECT trace_id, min(ts) AS start, max(ts + duration) AS \"end\", count(*) AS spans, CAST(count(*) FILTER (status = 2) AS BIGINT) AS errors, arg_min(name, (ts, span_id)) FILTER (parent_span_id IS NULL) AS root_name FROM spans WHERE flag = 'R' OR ostatus = 'F' GROUP BY 1 ORDER BY start DESC, trace_id LIMIT 30",
@@ -84,6 +103,12 @@ metric(
 )
 
 
+@register("traceql_exemplars", f"{WITH} SELECT {BUCKET} AS t, 'span.flag=' || flag AS labels, CAST(count(*) AS DOUBLE) AS value, arg_min(trace_id || '/' || span_id, (ts, trace_id, span_id)) AS exemplar FROM spans WHERE name = 'line' AND {IN} GROUP BY 1, 2")
+def traceql_exemplars(spark, sf_dir):
+    out = traceql.metrics(R.spans(spark, sf_dir), '{ name = "line" } | count_over_time() by(span.flag)', START, END, STEP, exemplars=True)
+    return out.select("t", "labels", "value", F.concat_ws("/", "exemplar.trace_id", "exemplar.span_id").alias("exemplar"))
+
+
 @register("tag_names", "SELECT * FROM (VALUES ('priority'), ('status'), ('flag'), ('quantity')) v(name)")
 def tag_names(spark, sf_dir):
     return traceql.tag_names(R.spans(spark, sf_dir), "span")

@@ -141,6 +141,29 @@ def conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span for each order with an event and a link for each of its lines, for readers.span_events() and span_links()."""
+    line = F.struct("l_linenumber", "l_returnflag", "l_suppkey", "l_partkey", "l_shipdate")
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    at = F.unix_micros(F.get("l", F.lit(0))["l_shipdate"].cast("timestamp")) * 1000
+    return orders.select(
+        F.lit("default").alias("tenant"),
+        F.lit(0).alias("partition"),
+        F.col("l_orderkey").alias("offset"),
+        at.alias("timestamp"),
+        hex_id(F.col("l_orderkey") + 1, 32).alias("trace_id"),
+        F.lpad(F.lit("1"), 16, "0").alias("span_id"),
+        F.transform("l", lambda x: F.struct((F.unix_micros(x["l_shipdate"].cast("timestamp")) * 1000).alias("timestamp"), F.concat(F.lit("shipped-"), x["l_returnflag"]).alias("name"), no_map().alias("attributes"))).alias("events"),
+        F.transform("l", lambda x: F.struct(hex_id(x["l_suppkey"] + 1, 32).alias("trace_id"), F.lpad(F.lit("1"), 16, "0").alias("span_id"), F.lit("").alias("trace_state"), no_map().alias("attributes"))).alias("links"),
+    )
+
+
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exemplar for each event: the trace it was measured in, at the point of its series."""
+    e = logs(spark, sf_dir)
+    return e.select("tenant", F.lit("metrics").alias("signal"), "partition", "offset", "timestamp", F.lit(0).alias("ordinal"), F.concat(F.lit("event_value/"), F.col("labels")["event_type"], F.lit("/"), F.col("labels")["user"]).alias("series_id"), F.lit("event_value").alias("name"), "trace_id", "span_id", "labels", "attributes")
+
+
 def gauge_points(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Points of the gauge `event_value`, a series for each event type and user group."""
     e = table(spark, sf_dir, "events") if events is None else events

@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sigloom import shared
 from sigloom.functions import tokens as T
 from sigloom.functions import units
 from sigloom.operators import correlation, rollup, search, winners
 from sigloom.plans import logql, promql, traceql
 from sigloom.plans.vectors import QueryError
+from sigloom.sources import readers
+from sigloom.streaming import live
+from sigloom.streaming.run import drain
 
 S = 1_000_000_000
 
@@ -128,9 +132,9 @@ def test_traceql_values(spark):
 
 
 def test_counter_rollup(spark):
-    rows = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate((4, 9, 2))], "series_id string, offset bigint, value double")
-    assert tuple(rollup.counters(rows).first()) == ("s", 11.0, 1, 3)
-    hist = spark.createDataFrame([("h", 3, 1, {1: 2, 5: 1}, {}, 4, 2.0), ("h", 3, 0, {1: 1}, {-2: 1}, 2, 1.0)], "series_id string, scale int, zero_count bigint, positive map<int,bigint>, negative map<int,bigint>, count bigint, sum double")
+    rows = spark.createDataFrame([(t, "s", i, float(v) * n) for t, n in (("a", 1), ("b", 10)) for i, v in enumerate((4, 9, 2))], "tenant string, series_id string, offset bigint, value double")
+    assert sorted(tuple(r) for r in rollup.counters(rows).collect()) == [("a", "s", 11.0, 1, 3), ("b", "s", 110.0, 1, 3)]
+    hist = spark.createDataFrame([("t", "h", 3, 1, {1: 2, 5: 1}, {}, 4, 2.0), ("t", "h", 3, 0, {1: 1}, {-2: 1}, 2, 1.0)], "tenant string, series_id string, scale int, zero_count bigint, positive map<int,bigint>, negative map<int,bigint>, count bigint, sum double")
     row = rollup.exponential_histograms(hist).first()
     assert row.positive == {1: 3, 5: 1} and row.negative == {-2: 1} and (row.zero_count, row["count"]) == (1, 6)
 
@@ -149,3 +153,124 @@ def test_units():
     assert units.compound_ns("1h30m") == 5_400 * S and units.duration_ns("1.5s", fraction=True) == 1_500_000_000
     with pytest.raises(ValueError):
         units.duration_ns("1.5s")
+
+
+SERIES = "tenant string, series_id string, timestamp bigint, offset bigint, value double, arrival bigint"
+
+
+def test_points_are_judged_on_arrival(spark, tmp_path):
+    minute = 60 * S
+    # (timestamp, offset, value) as they arrive.
+    came = [(20, 5, 1.0), (20, 6, 1.0), (20, 7, 2.0), (20, 3, 9.0), (15, 8, 4.0), (10, 9, 5.0), (9, 10, 6.0), (21, 11, 7.0), (11, 12, 8.0), (10, 13, 8.0)]
+    rows = [("t", "s", at * minute, offset, value, n) for n, (at, offset, value) in enumerate(came)] + [("u", "s", minute, 1, 1.0, 0)]
+    points = spark.createDataFrame(rows, SERIES)
+    points.write.parquet(str(tmp_path / "points"))
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "points"))
+    got = {(r.tenant, r.offset): (r.outcome, r.cumulative) for r in drain(live.in_order(stream)).collect()}
+    want = ["inserted", "duplicate", "replaced", "obsolete", "out_of_order", "out_of_order", "rejected", "inserted", "out_of_order", "rejected"]
+    total = 0.0
+    for (_, offset, value), outcome in zip(came, want):
+        total += value if outcome in ("inserted", "replaced", "out_of_order") else 0
+        assert got["t", offset] == (outcome, total), offset
+    assert got["u", 1] == ("inserted", 1.0)
+    # In offset order nothing is obsolete.
+    batch = {r.offset: r.outcome for r in winners.classify_points(points.filter("tenant = 't' AND offset <> 3")).collect()}
+    assert batch == {offset: outcome for (_, offset, _), outcome in zip(came, want) if offset != 3}
+
+
+def test_empty_streams_drain(spark, tmp_path):
+    spark.createDataFrame([], SERIES).coalesce(1).write.parquet(str(tmp_path / "none"))
+    stream = spark.readStream.schema(SERIES).parquet(str(tmp_path / "none"))
+    assert drain(stream).count() == 0 and drain(stream.groupBy("series_id").count(), "complete").count() == 0
+
+
+def page(spark, messages, budget, after=None):
+    rows = [(i * 7 * S, i, m) for i, m in enumerate(messages)]
+    return sorted(r.offset for r in search.page_by_bytes(spark.createDataFrame(rows, "timestamp bigint, offset bigint, message string"), budget, after).collect())
+
+
+def test_byte_pages(spark):
+    assert page(spark, ["", None, "", "", ""], 2) == [0, 1, 2, 3, 4]
+    assert page(spark, [None, None, None, "x" * 40, "y" * 10], 50) == [0, 1, 2, 3, 4]
+    assert page(spark, ["x" * 90, "y", ""], 50) == [0] and page(spark, ["x" * 90, "y", ""], 50, (0, 0)) == [1, 2]
+    texts = ["ab" * (i % 5) for i in range(60)]
+    for budget in (1, 9, 40, 1000):
+        want, total = [], 0
+        for i, text in enumerate(texts):
+            total += len(text)
+            if total <= budget or not want:
+                want.append(i)
+            else:
+                break
+        assert page(spark, texts, budget) == want
+
+
+def test_matchers_see_the_whole_value(spark):
+    logs = log_rows(spark, ["one", "two"], [{"app": "api"}, {"app": "api\n"}])
+    assert [r.line for r in logql.pipeline(logql.entries(logs), logql.parse_selector('{app=~"api"}')).collect()] == ["one"]
+    assert [r.line for r in logql.pipeline(logql.entries(logs), logql.parse_selector('{} | app !~ "api"')).collect()] == ["two"]
+    spans = tree(spark, [(1, None, "a", {"k": "v\n"}), (2, None, "a", {"k": "v"})])
+    assert found(spans, '{ span.k =~ "v" }') == ["2"]
+
+
+def test_windows_at_their_edges(spark):
+    # Samples after a millisecond's beginning belong to the windows that end later; a window that ends right there holds the exact one.
+    rows = [("x", {"a": "b"}, 1_000_000_000, 0, 1.0), ("x", {"a": "b"}, 1_000_000_500, 1, 10.0), ("x", {"a": "b"}, 2_000_000_000, 2, 100.0), ("x", {"a": "b"}, 3_000_000_001, 3, float("nan"))]
+    p = spark.createDataFrame(rows, "name string, labels map<string,string>, timestamp bigint, offset bigint, value double")
+    ask = lambda text: {r.t: r.value for r in promql.range_query(p, text, 1000, 4000, 500).collect()}
+    assert ask("sum_over_time(x[1s])") == {1000: 1.0, 1500: 10.0, 2000: 100.0, 2500: 100.0, 3500: pytest.approx(float("nan"), nan_ok=True)}
+    assert ask("increase(x[3s])")[2000] == 90.0 and ask("increase(x[3s])")[3000] == 90.0 and ask("changes(x[3s])")[3500] == 2.0
+    assert ask("max_over_time(x[3s])")[4000] == 100.0 and ask("min_over_time(x[600ms])")[3500] != ask("min_over_time(x[600ms])")[3500]
+    assert ask("delta(x[2s])")[2000] == 99.0 and ask("irate(x[2s])")[2000] == 90.0 and ask("last_over_time(x[1s])")[1000] == 1.0
+
+
+def test_readers_refuse_what_is_malformed(spark):
+    body = lambda text: spark.createDataFrame([(0, text)], "offset bigint, body string")
+    for reader, texts in ((readers.pushed_logs, ['{"streams":[{"stream":{},"values":[["x","l"]]}]}', '{"streams":[{"stream":{},"values":[["1"]]}]}', "nothing", '{"streams":']), (readers.container_logs, ['{"stream":"stdout"}', "x"]), (readers.otlp_spans, ["[1]"])):
+        for text in texts:
+            with pytest.raises(Exception):
+                reader(body(text)).collect()
+    assert readers.pushed_logs(body('{"streams":[]}')).count() == 0 and readers.otlp_logs(body("{}")).count() == 0
+
+
+def test_attribute_values_nest(spark):
+    attributes = '[{"key":"a","value":{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"x","value":{"arrayValue":{"values":[{"doubleValue":1.5},{"boolValue":true},{"stringValue":"\\"q\\""},{}]}}}]}}]}}},{"key":"e"},{"key":"e","value":{"intValue":"7"}}]'
+    row = spark.createDataFrame([(attributes,)], "t string").select(readers.rendered(F.array("t", F.lit(None).cast("string"))).alias("r")).first().r
+    assert row[0].m == {"a": '[{"x":[1.5,true,"\\"q\\"",null]}]', "e": "7"} and row[0].j == '{"a":[{"x":[1.5,true,"\\"q\\"",null]}],"e":7}'
+    assert row[1].m == {} and row[1].j == "{}"
+
+
+def test_pages_of_correlations(spark):
+    rows = [(t, "logs", 0, i, i, "1", "r") for t in ("a", "b") for i in range(5)]
+    found_ = correlation.postings(logs=spark.createDataFrame(rows, "tenant string, signal string, partition int, offset bigint, timestamp bigint, trace_id string, resource_id string"))
+    seen, after = [], None
+    while True:
+        part, after = correlation.page(found_, [("trace", "1")], 3, after)
+        seen += [tuple(r) for r in part]
+        if after is None:
+            break
+    assert seen == [(t, "logs", 0, i) for t in ("a", "b") for i in range(5)]
+
+
+def test_queries_are_validated():
+    for text in ('{a="b"} |= "x"', 'sum by (a) (rate({a="b"}[1m]))'):
+        assert logql.validate(text) == text
+    for bad in ('{a="b"', "rate({})", "{a=b}", 'topk(0, rate({a="b"}[1m]))'):
+        with pytest.raises(Exception):
+            logql.validate(bad)
+
+
+def test_shared_folder_needs_a_name_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError):
+        shared.folder(Session)
