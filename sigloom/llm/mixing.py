@@ -91,9 +91,9 @@ def invert_demand(part: Column, rank: Column, schedule=SCHEDULE) -> Column:
 def plan_mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Every document with size, source_size, target, rank, `copies` it gives and `before`, the words of its source ahead of it.
 
-    Needs doc_id and source, and either size or text; other columns travel along.
+    Needs doc_id and source, and the words of a text either as `text` or, without one, as `size`; other columns travel along.
     """
-    sized = docs if "size" in docs.columns else docs.withColumn("size", word_count(F.col("text")))
+    sized = docs.withColumn("size", word_count(F.col("text"))) if "text" in docs.columns else docs
     salt = [F.col(c) for c in ("text", "_text_hash") if c in docs.columns]
     sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), *salt)).withColumn("_block", F.shiftrightunsigned("_h", 64 - int(math.log2(BLOCKS))).cast("int"))
     targets = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_s")

@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("sigloom.llm.registry")
 
 import corpus_pipeline  # noqa: E402
-from sigloom.llm import chat, components, decontamination, eliasfano, fingerprints, html, mixing, ngramjoin, sharding, suffixes, tokenids, toxicity, words  # noqa: E402
+from sigloom.llm import chat, components, decontamination, eliasfano, fingerprints, html, mixing, ngramjoin, ordered, sharding, suffixes, tokenids, toxicity, words  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, position double, _h string, _id int, keep string, size int, _text_hash int"
@@ -182,6 +183,22 @@ def test_fingerprints_next_to_brute_force(small, monkeypatch):
     assert np.mean(errors) < 0.05
 
 
+@pytest.mark.parametrize("ids", [[None] * 60 + list(range(40)), list(range(300)), [7] * 100])
+def test_blocks_follow_the_order(spark, monkeypatch, ids):
+    monkeypatch.setattr(ordered, "RUN", 4)
+    rows = [(d, f"text {i} of {d}") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.xxhash64("text"))
+    dealt, count = ordered.in_blocks(docs, "doc_id", "h", block_bytes=len(rows))
+    blocks, guests = {}, {}
+    for r in dealt.collect():
+        (guests if r["_guest"] else blocks).setdefault(r["_block"], []).append((r["_key"], r.h))
+    order = sorted(x for b in blocks.values() for x in b)
+    assert len(order) == len(rows) and [x for b in sorted(blocks) for x in sorted(blocks[b])] == order
+    assert count > 8 and max(map(len, blocks.values())) < len(rows) / 2
+    filled = sorted(blocks)
+    assert {b: g for b, g in guests.items()} == {b: [min(blocks[filled[(i + 1) % len(filled)]])] for i, b in enumerate(filled)}
+
+
 def test_sketches_merge_and_estimate():
     a, b = ([f"w{i}" for i in range(s, s + 4000)] for s in (0, 2000))
     x, y = fingerprints.sketches([" ".join(a), " ".join(b)])
@@ -281,6 +298,36 @@ def test_mix_meets_its_targets(small):
     assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in mixing.digest(small).collect()}
 
 
+def iterated_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """The contract's rule, step by step: what exceeds a source's cap is shared by weight among the others until none is above."""
+    names = sorted((n for n in sizes if n is not None)) + [n for n in sizes if n is None]
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    full, target = set(), {}
+    while True:
+        left = share * sum(sizes.values()) - sum(cap * sizes[n] for n in full)
+        rest = [n for n in names if n not in full]
+        target = {n: cap * sizes[n] for n in full} | {n: left * weight[n] / sum(weight[m] for m in rest) for n in rest}
+        above = {n for n in rest if target[n] > cap * sizes[n]}
+        if not above:
+            return target
+        full |= above
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_are_those_of_the_iterated_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {(f"s{i}" if i else None): int(rng.integers(1, 10 ** int(rng.integers(1, 6)))) for i in range(int(rng.integers(1, 9)))}
+    rows = [(n, size // 2) for n, size in sizes.items()] + [(n, size - size // 2) for n, size in sizes.items()]
+    got = {r.source: (r.source_size, r.target) for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint")).collect()}
+    want = iterated_targets(sizes)
+    assert {n: s for n, (s, _) in got.items()} == sizes and {n: t for n, (_, t) in got.items()} == pytest.approx(want)
+
+
+def test_text_outranks_a_column_named_size(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 99), (2, "d", "s", 99)], "doc_id bigint, text string, source string, size bigint")
+    assert {r.doc_id: r["size"] for r in mixing.plan_mix(docs).collect()} == {1: 3, 2: 1}
+
+
 def test_demand_is_inverted(spark):
     from pyspark.sql import functions as F
 
@@ -623,6 +670,28 @@ def test_pipeline_stages_take_effect(spark):
     assert not brute_links([r for r in {r.doc_id: r for r in rows}.values()])
 
 
+@pytest.mark.parametrize("columns", [[], ["shard int", "slot bigint", "position double", "h bigint"]])
+def test_pipeline_of_odd_inputs(spark, tmp_path, columns):
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(None, None, None, None, None), (900_001, None, "en", "src0", 0), (900_002, "", "en", None, 0), (900_003, "same row", "en", "src0", 8), (900_003, "same row", "en", "src0", 8), (900_004, LONG, None, "src1", 1)]
+    for name, docs in (("odd", small.limit(60).union(spark.createDataFrame(odd, small.schema))), ("none", small.limit(0))):
+        for c in columns:
+            docs = docs.withColumn(c.split()[0], F.lit(1).cast(c.split()[1]))
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SMALL}/{table}.parquet").write.parquet(f"{at}/{table}.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns == [*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot"]
+        rows = out.collect()
+        assert (len(rows) > 0) == (name == "odd")
+        if rows:
+            ids = [r.doc_id for r in rows]
+            assert ids.count(900_003) <= 2 and 900_004 in ids and None not in ids
+            sizes = [sum(r.shard == k for r in rows) for k in range(24)]
+            assert max(sizes) - min(sizes) <= 1
+
+
 def test_words_are_those_of_a_pattern():
     for text in ["", "One two_three", "é—à 12,5 X", "a " * 3000]:
         assert len(words.shingle_sets([text])[0]) == len(shingles(text))
