@@ -9,6 +9,7 @@ look-arounds behind a plain `contains`, so no array of tokens is built for them.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ def has_token(message: Column, needle: str, any_case: bool = False) -> Column:
     return whole if any_case else message.contains(needle) & whole
 
 
+def has_all_tokens(message: Column, needles: list[str]) -> Column:
+    """Every needle as a token, in any order; none at all match everything."""
+    return reduce(lambda a, b: a & b, [has_token(message, n) for n in needles], F.lit(True))
+
+
 def has_term(message: Column, needle: str) -> Column:
     if not re.fullmatch(r"[^\W_]+", needle):
         return F.lit(False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import datetime, timezone
 
@@ -68,3 +69,27 @@ def parse_time_ns(text: str) -> int:
         raise ValueError(f"not a time: {text!r}")
     at = datetime.fromisoformat(m[1] + ("+00:00" if m[3] == "Z" else m[3])).astimezone(timezone.utc)
     return int(at.timestamp()) * 1_000_000_000 + int((m[2] or "0").ljust(9, "0"))
+
+
+def prometheus_time_ms(text: str) -> int:
+    """Seconds with a fraction, as milliseconds; halves round away from zero."""
+    seconds = float(text)
+    if not math.isfinite(seconds) or abs(seconds) * 1000 > 1 << 63:
+        raise ValueError(f"not a time: {text!r}")
+    ms = seconds * 1000
+    return int(math.floor(abs(ms) + 0.5)) * (1 if ms >= 0 else -1)
+
+
+def trace_time_ns(text: str) -> int:
+    """Whole seconds below 10**10, whole nanoseconds from there on, or RFC 3339; no time is negative."""
+    if re.fullmatch(r"[0-9]+", text):
+        return int(text) * (1_000_000_000 if int(text) < 10**10 else 1)
+    at = parse_time_ns(text) if "T" in text else -1
+    if at < 0:
+        raise ValueError(f"not a time: {text!r}")
+    return at
+
+
+def delete_time_ns(text: str) -> int:
+    """As parse_time_ns(), but whole numbers are seconds."""
+    return int(text) * 1_000_000_000 if re.fullmatch(r"-?[0-9]+", text) else parse_time_ns(text)

@@ -32,12 +32,12 @@ def volume(logs: DataFrame, selector: str, start: int, end: int, names: list[str
     return rows.groupBy(L.text(L.only(F.col("labels"), names)).alias("labels")).agg(F.sum(F.octet_length("line")).alias("bytes"))
 
 
-def label_names(logs: DataFrame) -> DataFrame:
-    return logs.select(F.explode(F.map_keys("labels")).alias("name")).distinct()
+def label_names(logs: DataFrame, selector: str = "{}", start: int | None = None, end: int | None = None) -> DataFrame:
+    return selected(logs, selector, start, end).select(F.explode(F.map_keys("labels")).alias("name")).distinct()
 
 
-def label_values(logs: DataFrame, name: str) -> DataFrame:
-    return logs.select(F.try_element_at("labels", F.lit(name)).alias("value")).filter("value IS NOT NULL").distinct()
+def label_values(logs: DataFrame, name: str, selector: str = "{}", start: int | None = None, end: int | None = None) -> DataFrame:
+    return selected(logs, selector, start, end).select(F.try_element_at("labels", F.lit(name)).alias("value")).filter("value IS NOT NULL").distinct()
 
 
 def series(logs: DataFrame, selector: str) -> DataFrame:
@@ -52,13 +52,15 @@ def patterns(logs: DataFrame, selector: str, start: int, end: int, step: int = 1
 
 
 def fields(logs: DataFrame) -> DataFrame:
-    """(field, v) of the k=v words of lines, or of the top-level scalars of JSON lines."""
+    """(field, v, parser) of the k=v words of lines, or of the top-level scalars of JSON lines; those of the metadata have no parser."""
     line = F.coalesce("message", F.lit(""))
-    words = F.transform(F.regexp_extract_all(line, F.lit(FIELD), F.lit(0)), lambda p: F.struct(F.substring_index(p, "=", 1).alias("field"), F.regexp_replace(p, "^[^=]*=", "").alias("v")))
+    field = lambda parser, name, v: F.struct(name.alias("field"), v.alias("v"), F.lit(parser).cast("string").alias("parser"))
+    words = F.transform(F.regexp_extract_all(line, F.lit(FIELD), F.lit(0)), lambda p: field("logfmt", F.substring_index(p, "=", 1), F.regexp_replace(p, "^[^=]*=", "")))
     parsed = F.map_entries(F.from_json(line, "map<string,string>"))
-    objects = F.transform(F.filter(parsed, lambda e: ~F.rlike(F.coalesce(e["value"], F.lit("")), F.lit(r"^[\[{]"))), lambda e: F.struct(e["key"].alias("field"), F.coalesce(e["value"], F.lit("")).alias("v")))
+    objects = F.transform(F.filter(parsed, lambda e: ~F.rlike(F.coalesce(e["value"], F.lit("")), F.lit(r"^[\[{]"))), lambda e: field("json", e["key"], F.coalesce(e["value"], F.lit(""))))
     chosen = F.when(line.startswith("{") & parsed.isNotNull(), objects).otherwise(words)
-    return logs.select(F.explode(chosen).alias("f")).select("f.field", "f.v")
+    metadata = F.transform(F.map_entries("metadata"), lambda e: field(None, e["key"], e["value"]))
+    return logs.select(F.explode(F.concat(metadata, chosen)).alias("f")).select("f.*")
 
 
 def field_type(v: Column) -> Column:
@@ -77,7 +79,7 @@ def field_type(v: Column) -> Column:
 
 
 def detected_fields(logs: DataFrame) -> DataFrame:
-    return fields(logs).groupBy("field").agg(field_type(F.col("v")).alias("type"), F.countDistinct("v").alias("cardinality"))
+    return fields(logs).groupBy("field").agg(field_type(F.col("v")).alias("type"), F.countDistinct("v").alias("cardinality"), F.array_sort(F.collect_set("parser")).alias("parsers"))
 
 
 def detected_field_values(logs: DataFrame, name: str) -> DataFrame:

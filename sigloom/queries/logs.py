@@ -188,11 +188,16 @@ def patterns(spark, sf_dir):
 
 @register(
     "detected_fields",
-    f"""{WITH}, kv AS (SELECT 'type' AS field, event_type AS v FROM logs UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM logs UNION ALL SELECT 'cents', regexp_extract(message, 'cents=(-?[0-9]+)', 1) FROM logs)
-    SELECT field, CASE WHEN bool_and(regexp_matches(v, '^[+-]?[0-9]+$')) THEN 'int' ELSE 'string' END AS type, count(DISTINCT v) AS cardinality FROM kv GROUP BY 1""",
+    f"""{WITH}, kv AS (SELECT 'type' AS field, event_type AS v FROM logs UNION ALL SELECT 'user', CAST(user_id AS VARCHAR) FROM logs UNION ALL SELECT 'cents', regexp_extract(message, 'cents=(-?[0-9]+)', 1) FROM logs UNION ALL SELECT 'k', k FROM logs)
+    SELECT field, CASE field WHEN 'k' THEN '' ELSE 'logfmt' END AS parsers, CASE WHEN bool_and(regexp_matches(v, '^[+-]?[0-9]+$')) THEN 'int' ELSE 'string' END AS type, count(DISTINCT v) AS cardinality FROM kv GROUP BY 1""",
 )
 def detected_fields(spark, sf_dir):
-    return discovery.detected_fields(R.logs(spark, sf_dir))
+    return discovery.detected_fields(R.logs(spark, sf_dir)).withColumn("parsers", F.array_join("parsers", ","))
+
+
+@register("label_values_in_range", f"{WITH} SELECT DISTINCT usr AS value FROM logs WHERE event_type = 'error' AND ts_ns BETWEEN {T0} AND {T0 + DAY // 4}")
+def label_values_in_range(spark, sf_dir):
+    return discovery.label_values(R.logs(spark, sf_dir), "user", '{event_type="error"}', T0, T0 + DAY // 4)
 
 
 @register("detected_field_values", "SELECT DISTINCT event_type AS value FROM events")

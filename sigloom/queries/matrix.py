@@ -45,6 +45,7 @@ sql("ordered_map_limit", f"SELECT timestamp, offset, message FROM v_logs WHERE {
 sql("ordered_residual_limit", "SELECT timestamp, offset, message FROM v_logs WHERE locate('error', lower(coalesce(message, ''))) > 0 ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs WHERE contains(lower(message), 'error') ORDER BY 1 DESC, 2 DESC LIMIT 1")
 sql("ordered_token_limit", "SELECT timestamp, offset, message FROM v_logs WHERE message rlike '(?<![0-9A-Za-z_])error(?![0-9A-Za-z_])' ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs WHERE event_type = 'error' ORDER BY 1 DESC, 2 DESC LIMIT 1")
 sql("ordered_token_ci_limit", "SELECT timestamp, offset, message FROM v_logs WHERE message rlike '(?i)(?<![0-9A-Za-z_])ERROR(?![0-9A-Za-z_])' ORDER BY timestamp DESC, offset DESC LIMIT 1", f"{L} SELECT ts_ns AS timestamp, off AS offset, message FROM logs WHERE event_type = 'error' ORDER BY 1 DESC, 2 DESC LIMIT 1")
+sql("all_tokens", "SELECT offset FROM v_logs WHERE message rlike '(?<![0-9A-Za-z_])type(?![0-9A-Za-z_])' AND message rlike '(?<![0-9A-Za-z_])error(?![0-9A-Za-z_])' AND contains(message, 'type') AND contains(message, 'error')", f"{L} SELECT off AS offset FROM logs WHERE event_type = 'error'")
 sql("mixed_residual", f"SELECT offset FROM v_logs WHERE {APP} = 'click' AND locate('user=1', lower(message)) > 0", f"{L} SELECT off AS offset FROM logs WHERE event_type = 'click' AND contains(message, 'user=1')")
 sql("disjunction", f"SELECT offset FROM v_logs WHERE {APP} = 'click' OR {K} = '20'", f"{L} SELECT off AS offset FROM logs WHERE event_type = 'click' OR k = '20'")
 sql("missing_map_key", "SELECT coalesce(try_element_at(labels, 'missing'), '') AS missing, count(*) AS rows FROM v_logs GROUP BY 1", f"{L} SELECT '' AS missing, count(*) AS rows FROM logs")

@@ -35,6 +35,11 @@ def test_tokens_and_terms(spark):
     assert hits(spark, texts, lambda m: T.has_token_like(m, "^acc.*s$")) == [0, 2, 3, 5]
 
 
+def test_all_tokens(spark):
+    texts = ["a b", "b x a", "ab", "a"]
+    assert hits(spark, texts, lambda m: T.has_all_tokens(m, ["a", "b"])) == hits(spark, texts, lambda m: T.has_token(m, "a") & T.has_token(m, "b"))
+
+
 def test_requests_are_checked():
     for bad in ["nope=1", "relation=other", "columns=offset,offset", "columns=nope", "start_ns=5&end_ns=5", "order=timestamp_desc", "message_any=a&message_min_match=2", "group_by=body", "trace_id=00", "field_numeric=k:ge:x", "message_regex=(?=a)", "limit=1&limit=2"]:
         with pytest.raises(ValueError):
@@ -153,6 +158,12 @@ def test_units():
     assert units.compound_ns("1h30m") == 5_400 * S and units.duration_ns("1.5s", fraction=True) == 1_500_000_000
     with pytest.raises(ValueError):
         units.duration_ns("1.5s")
+    assert [units.prometheus_time_ms(t) for t in ("1.0005", "2", "-1.5", "0.0004")] == [1001, 2000, -1500, 0]
+    assert [units.trace_time_ns(t) for t in ("2", "20000000000", "1970-01-01T00:00:02Z")] == [2 * S, 20 * S, 2 * S]
+    assert units.delete_time_ns("3") == 3 * S and units.delete_time_ns("1.5") == 1_500_000_000 and units.parse_time_ns("3") == 3
+    for parse, bad in ((units.prometheus_time_ms, "nan"), (units.trace_time_ns, "-1"), (units.trace_time_ns, "x")):
+        with pytest.raises(ValueError):
+            parse(bad)
 
 
 SERIES = "tenant string, series_id string, timestamp bigint, offset bigint, value double, arrival bigint"
