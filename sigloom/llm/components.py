@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     for _ in range(MOST_ROUNDS):
-        edges = store.written(_small_star(_large_star(edges)), "edges")
+        edges = _small_star(_large_star(edges))
         before, state = state, _state(edges)
         if state == before:
             break
@@ -36,13 +36,19 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    least = store.written(least, "least").hint("shuffle_merge")
-    return both.join(least, both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = store.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+    found = both.join(least.hint("shuffle_merge"), both["a"] == least["u"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _instead(found, edges, least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    edges = store.written(edges, "edges")
     least = store.written(edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "least")
     inner = edges.join(least.hint("shuffle_merge"), edges["a"] == least["u"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return inner.union(least.select("u", "m")).filter("a <> b").distinct()
+    return _instead(inner.union(least.select("u", "m")).filter("a <> b").distinct(), edges, least)
+
+
+def _instead(found: DataFrame, *used: DataFrame) -> DataFrame:
+    """found as a table, in place of the tables it was made of."""
+    edges = store.written(found, "edges")
+    store.dropped(*used)
+    return edges

@@ -318,6 +318,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     linked = counted.join(settled.hint("shuffle_merge"), "node", "left").select(F.col("node").alias("class"), F.coalesce("root", "node").alias("root"), "text_links", "links")
     named = classes.select("class", "copies", "first").join(linked.hint("shuffle_merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = store.written(named, "classes-in-groups")
+    store.dropped(classes, grouped, sizes, found)
     least = store.written(named.groupBy("root").agg(F.min("first").alias("least")), "group-firsts")
     named = named.join(least.hint("shuffle_merge"), "root").select("class", "copies", "least", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("links", F.lit(0)).alias("links"))
     return signed.select("doc_id", "h", "class").join(named.hint("shuffle_merge"), "class").select(
