@@ -297,6 +297,14 @@ def scan(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return found
 
 
+def scan_relations(relations: dict[str, DataFrame], pairs: list[tuple[str, str]]) -> DataFrame:
+    """The request's answer over the relation that it names; logs if it names none."""
+    name = parse(pairs).relation
+    if name not in relations:
+        raise ValueError(f"no such relation here: {name}")
+    return scan(relations[name], pairs)
+
+
 def joined_to_service(found: DataFrame, inside: DataFrame, service: str) -> DataFrame:
     """Rows of traces that also have a row of the service, in the same time range."""
     of_service = sure(F.try_element_at(F.col("labels"), F.lit("service_name")) == service) | sure(F.try_element_at(F.col("resource_attributes"), F.lit("service.name")) == service)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigloom.catalog import register
 from sigloom.functions import labels as L
-from sigloom.operators import native
+from sigloom.operators import native, search
 from sigloom.plans import logql, promql, traceql
 from sigloom.sinks import encode
 from sigloom.sources import readers
@@ -241,6 +241,31 @@ def encode_traces(spark, sf_dir):
     return encode.traces(traceql.search(R.spans(spark, sf_dir), '{ span.flag = "R" || span.status = "F" }', limit=30)).select("json")
 
 
+@register("encode_arrow", f"{L_SQL} SELECT count(*) AS rows FROM logs WHERE event_type = 'error'")
+def encode_arrow(spark, sf_dir):
+    found = R.logs(spark, sf_dir).filter(F.col("labels")["event_type"] == "error").select("timestamp", "offset", "message", "labels")
+    return encode.arrow_streams(found).agg(F.sum("rows").alias("rows"))
+
+
+def _relations(spark, sf_dir):
+    nested = R.nested_spans(spark, sf_dir)
+    return {"logs": R.logs(spark, sf_dir), "spans": R.spans(spark, sf_dir), "span_events": readers.span_events(nested), "span_links": readers.span_links(nested), "metric_points": R.gauge_points(spark, sf_dir), "metric_exemplars": R.exemplars(spark, sf_dir)}
+
+
+EVENTS_SQL = "SELECT l_orderkey AS off, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_suppkey, l_partkey, l_shipdate) - 1 AS n, * FROM lineitem"
+
+
+def _scan(name: str, pairs: str, sql: str) -> None:
+    @register(name, sql)
+    def run(spark, sf_dir):
+        return search.scan_relations(_relations(spark, sf_dir), [tuple(p.split("=", 1)) for p in pairs.split("&")])
+
+
+_scan("scan_span_events", "relation=span_events&columns=offset,ordinal,name,timestamp,scope_id&name=shipped-R", f"SELECT off AS offset, CAST(n AS INT) AS ordinal, 'shipped-R' AS name, epoch_us(l_shipdate) * 1000 AS timestamp, CAST(NULL AS VARCHAR) AS scope_id FROM ({EVENTS_SQL}) WHERE l_returnflag = 'R'")
+_scan("scan_span_links", "relation=span_links&columns=offset,ordinal,linked_trace_id&offset_start=100&offset_end=900", f"SELECT off AS offset, CAST(n AS INT) AS ordinal, lpad(lower(to_hex(l_suppkey + 1)), 32, '0') AS linked_trace_id FROM ({EVENTS_SQL}) WHERE off >= 100 AND off < 900")
+_scan("scan_metric_exemplars", "relation=metric_exemplars&columns=offset,series_id,trace_id&label.user=3", f"{L_SQL} SELECT off AS offset, 'event_value/' || event_type || '/3' AS series_id, trace_id FROM logs WHERE usr = '3'")
+_scan("scan_metric_points", "relation=metrics&columns=offset,value&series_id=event_value/click/4", "SELECT event_id AS offset, value FROM events WHERE event_type = 'click' AND user_id % 10 = 4")
+
 # Native lookups
 
 FROM, TO = 1_704_412_800_000_000_000, 1_704_844_800_000_000_000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +79,24 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[shown(n, k) for n, k in df.dtypes]), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def arrow_streams(df: DataFrame) -> DataFrame:
+    """(rows, stream) of the table in parts: each a complete Arrow IPC stream, written where the rows are."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["rows", "stream"])
+
+    return df.mapInArrow(write, "rows bigint, stream binary")
+
+
+def arrow_table(parts: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The batches of arrow_streams(), one after another."""
+    for part in parts.select("stream").toLocalIterator():
+        yield from pa.ipc.open_stream(part.stream)
+
+
 def enveloped(rows: DataFrame, kind: str) -> DataFrame:
     """One row, the whole response. The result is one string, so it is for results that a client can hold."""
     body = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rows.columns[0], "json"))), lambda x: x["json"]), ",").alias("b"))

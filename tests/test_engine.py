@@ -9,6 +9,7 @@ from sigloom.functions import units
 from sigloom.operators import correlation, rollup, search, winners
 from sigloom.plans import logql, promql, traceql
 from sigloom.plans.vectors import QueryError
+from sigloom.sinks import encode
 from sigloom.sources import readers
 from sigloom.streaming import live
 from sigloom.streaming.run import drain
@@ -285,3 +286,11 @@ def test_shared_folder_needs_a_name_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared.folder(Session)
+
+
+def test_arrow_streams_hold_the_table(spark):
+    rows = [(i, f"m{i}", {"k": str(i)}) for i in range(50)]
+    df = spark.createDataFrame(rows, "offset bigint, message string, labels map<string,string>").repartition(3)
+    parts = encode.arrow_streams(df)
+    back = [tuple(r.values()) for batch in encode.arrow_table(parts) for r in batch.to_pylist()]
+    assert sorted((o, m, dict(l)) for o, m, l in back) == rows and encode.arrow_streams(df.limit(0)).agg(F.sum("rows")).first()[0] in (None, 0)
