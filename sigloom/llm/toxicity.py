@@ -58,8 +58,9 @@ DISCOUNTS = (1.0, 1.6, 2.2)
 SHARED_DISCOUNT = 0.75
 #: Share of a letter that no table knows.
 FLOOR = 1 / 300
-#: Words, and letter sequences, whose differences a worker keeps.
-KEPT = 500_000
+#: Words, and letter sequences, whose differences a worker keeps; and text that it scores at once.
+KEPT, GRAMS = 500_000, 120_000
+CHUNK = 1 << 18
 RIDGE = 0.3
 
 
@@ -163,7 +164,7 @@ class Model:
         if not gram:
             return FLOOR
         if gram not in self.lower:
-            if len(self.lower) > KEPT:
+            if len(self.lower) > GRAMS:
                 self.lower.clear()
             below, t = self.shared(gram[1:]), self.tables
             at = self.find("shared_context", gram[:-1])
@@ -178,7 +179,7 @@ class Model:
         """Log-likelihood difference of a sequence's last letter."""
         known = self.grams.get(gram)
         if known is None:
-            if len(self.grams) > KEPT:
+            if len(self.grams) > GRAMS:
                 self.grams.clear()
             known, t, at = 0.0, self.tables, self.find("context", gram[:-1])
             # After a context that neither class has seen, both back off to the same share.
@@ -224,7 +225,7 @@ class Model:
         """Differences per word of each whole text, its best window, its most telling words, and the log of their number; 0 without words."""
         out = np.zeros((len(texts), 6))
         row = 0
-        for part in chunks(texts):
+        for part in chunks(texts, CHUNK):
             each, at = self.word_scores(part)
             run = np.concatenate(([0.0], np.cumsum(each)))
             for first, last in zip(at[:-1].tolist(), at[1:].tolist()):
