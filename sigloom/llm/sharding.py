@@ -29,7 +29,7 @@ from sigloom.llm import store
 SHARDS = 24
 SEED = 20240117
 #: Text bytes aimed at in one bucket.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Buckets are runs of hash bins, this many for each 64 GB of input, so one pass sizes both.
 BINS = 4096
 #: Copies of a row that are dealt like any others.
@@ -84,7 +84,7 @@ def external_shuffle(docs: DataFrame, seed: int = SEED, text: str = "text", buck
     rows = total.n or 0
     buckets = max(1, min(bins, math.ceil((total.bytes or 0) / bucket_bytes)))
     bucket = F.expr(f"_bin * {buckets} div {bins}").alias("_bucket")
-    # A row for each bucket in one task: 16 bytes for 32 MB of input, so 50 MB at 100 TB.
+    # A row for each bucket in one task: 16 bytes for 16 MB of input, so 100 MB at 100 TB.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.groupBy(bucket).agg(F.sum("n").alias("n")).select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     # Pass 1: scatter. Pass 2: canonical order, Fisher-Yates, numbering.
