@@ -60,6 +60,8 @@ SHARED_DISCOUNT = 0.75
 FLOOR = 1 / 300
 #: Words, and letter sequences, whose differences a worker keeps; and text that it scores at once.
 KEPT, GRAMS = 500_000, 120_000
+#: Words that a task counts before it passes them on.
+COUNTED = 200_000
 CHUNK = 1 << 18
 RIDGE = 0.3
 
@@ -93,7 +95,7 @@ def word_documents(rows: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[toxic > 0].update(set(WORD.findall(text.lower())))
-            if len(held[0]) + len(held[1]) > KEPT:
+            if len(held[0]) + len(held[1]) > COUNTED:
                 yield from flush()
         yield from flush()
 
