@@ -58,10 +58,11 @@ DISCOUNTS = (1.0, 1.6, 2.2)
 SHARED_DISCOUNT = 0.75
 #: Share of a letter that no table knows.
 FLOOR = 1 / 300
-#: Words, and letter sequences, whose differences a worker keeps; and text that it scores at once.
+#: Words, and letter sequences, whose differences a worker keeps.
 KEPT, GRAMS = 500_000, 120_000
 #: Words that a task counts before it passes them on.
 COUNTED = 200_000
+#: Characters scored at once.
 CHUNK = 1 << 18
 RIDGE = 0.3
 
