@@ -293,11 +293,15 @@ def set_operation(left: DataFrame, right: DataFrame, op: str, m: Matching, alway
 def steps_between(samples: DataFrame) -> DataFrame:
     """Counter rows for over_windows(): a sample with its windows, and the step from its predecessor with those that hold both.
 
-    samples are (lk, ts, offset, value, lo, hi); those with `aside` are nobody's predecessor.
+    samples are (lk, ts, offset, value, lo, hi); those with `aside` precede only each other, within one ts.
     """
     main = ~F.col("aside") if "aside" in samples.columns else F.lit(True)
-    order = Window.partitionBy("lk").orderBy("ts", main, "offset").rowsBetween(Window.unboundedPreceding, -1)
-    rows = samples.withColumn("p", F.last(F.when(main, F.struct("ts", "value", "hi")), ignorenulls=True).over(order))
+    order = Window.partitionBy("lk").orderBy("ts", main, "offset")
+    sample = F.struct("ts", "value", "hi")
+    rows = samples.withColumn("p", F.last(F.when(main, sample), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    if "aside" in samples.columns:
+        beside = F.lag(F.when(~main, sample)).over(order)
+        rows = rows.withColumn("_beside", beside).withColumn("p", F.when(~main & (F.col("_beside.ts") == F.col("ts")), F.col("_beside")).otherwise(F.col("p")))
     point = F.struct("ts", "offset", "value", F.col("p.ts").alias("before_ts"), F.col("p.value").alias("before"))
     own = F.struct(F.col("lo"), F.col("hi"), point.alias("at"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     pair = F.struct(F.col("lo"), F.least("hi", "p.hi").alias("hi"), F.lit(None).cast(samples.select(F.struct("ts", "offset", "value", F.col("ts").alias("before_ts"), F.col("value").alias("before")).alias("x")).schema["x"].dataType).alias("at"), F.col("p.value").alias("a"), F.col("value").alias("b"))
