@@ -21,7 +21,7 @@ def crowded(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["prom_sum_over_time", "prom_range_offset", "prom_ignoring", "prom_rate", "prom_irate", "prom_changes", "prom_last_over_time"])
+@pytest.mark.parametrize("name", ["prom_negative_offset", "prom_sum_over_time", "prom_range_offset", "prom_ignoring", "prom_rate", "prom_irate", "prom_changes", "prom_last_over_time"])
 def test_samples_of_one_millisecond_all_count(spark, crowded, name):
     folder, con = crowded
     query = catalog.QUERIES[name]
