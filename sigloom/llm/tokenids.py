@@ -8,9 +8,12 @@ whose select returns a document's offset without unpacking). `first` is the
 number of ids before the segment in its block, and blocks follow each other
 (ordered.in_blocks), so a global offset is one sum away.
 
-Byte-level BPE splits a text by a pattern and encodes each piece alone, so a
-worker keeps the ids of pieces it has met. Where a text holds an added token,
-or the tokenizer is of another kind, the library encodes the text as a whole.
+Byte-level BPE splits a text by a pattern and encodes each piece alone, and no
+piece reaches over a space that does not begin it. So a text is cut before its
+spaces and a worker keeps the ids of the words it has met; only a new word is
+split by the pattern. A text with a space inside or at the end of a longer run of
+white space is split as a whole. Where a text holds an added token, or the
+tokenizer is of another kind, the library encodes the text as a whole.
 
 Edge cases: null text is empty and has the end id alone; null ids come first;
 rows with equal ids are separate documents, ordered by their text; ids must be integers; extra
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,10 +38,12 @@ from sigloom.llm import eliasfano, ordered, store
 END_ID = 2
 #: Ids in a segment, about.
 SEGMENT_IDS = 1 << 20
-#: Pieces whose ids a worker keeps, and characters of the longest it keeps; it starts afresh beyond.
-KEPT_PIECES, KEPT_LENGTH = 400_000, 48
+#: Words, and pieces without a space, whose ids a worker keeps, and characters of the longest it keeps; it starts afresh beyond.
+KEPT_PIECES, KEPT_LENGTH = 690_000, 48
 #: Fixed value: the splitting pattern of byte-level BPE, in the dialect of `re`.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?(?:(?=\d)\w)+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: A space that a cut before it would part from white space it shares a piece with.
+LOOSE = re.compile(r"\s (?:\s|\Z)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,26 +66,48 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
         self.letters = byte_letters()
-        self.kept: dict[str, bytes] = {}
+        self.space, self.tokenize = self.letters[32], self.tokenizer.model.tokenize
+        #: Ids of words together with the space before them, and of pieces that do not begin with a space.
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def piece(self, text: str) -> bytes:
-        ids = self.pack([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
-        if len(text) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[text] = ids
+        kept, key = (self.words, text[1:]) if text[0] == " " else (self.pieces, text)
+        ids = kept.get(key)
+        if ids is None:
+            ids = self.merged(text.encode().decode("latin-1").translate(self.letters))
+            keep(kept, key, ids)
         return ids
 
+    def merged(self, letters: str) -> bytes:
+        return self.pack([t.id for t in self.tokenize(letters)])
+
+    def word(self, text: str) -> bytes:
+        """Of a word and the space before it. One of ASCII letters, which stand for themselves, is one piece."""
+        ids = self.merged(self.space + text) if text.isascii() and text.isalpha() else self.split(" " + text)
+        keep(self.words, text, ids)
+        return ids
+
+    def split(self, text: str) -> bytes:
+        if not self.splits_alike(text):
+            return self.whole(text)
+        return b"".join([self.piece(p) for p in PIECES.findall(text)])
+
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.added and self.added.search(text) or not self.splits_alike(text):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        get, piece = self.kept.get, self.piece
-        return b"".join([get(p) or piece(p) for p in PIECES.findall(text)])
+        if not self.by_piece or self.added and self.added.search(text):
+            return self.whole(text)
+        if LOOSE.search(text):
+            return self.split(text)
+        first, *words = text.split(" ")
+        get, word = self.words.get, self.word
+        return self.split(first) + b"".join([get(w) or word(w) for w in words])
 
     @staticmethod
     def splits_alike(text: str) -> bool:
@@ -90,6 +118,14 @@ class Encoder:
 #: Characters below U+0300 that the two dialects class differently (number forms and C0 separators).
 ODD = re.compile("[\x1c-\x1f\x85²³¹¼-¾]")
 
+
+def keep(kept: dict[str, bytes], key: str, ids: bytes) -> None:
+    if len(key) <= KEPT_LENGTH:
+        if len(kept) >= KEPT_PIECES:
+            kept.clear()
+        kept[key] = ids
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
